@@ -1,0 +1,9 @@
+"""Driver tables as inputs."""
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from bandgraph.session import table
+
+
+def nation_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.count("*").alias("n"))
