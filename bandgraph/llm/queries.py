@@ -1,10 +1,12 @@
 """The queries of this subpackage, and the SQL of those that SQL can express."""
 
-from bandgraph.llm import mixing
+from bandgraph.llm import decontaminate, mixing
 
 QUERIES = {
+    "op5_benchmark_decontamination": decontaminate.op5_benchmark_decontamination,
     "op6_source_mixing": mixing.op6_source_mixing,
 }
 ORACLE = {
+    "op5_benchmark_decontamination": decontaminate.ORACLE,
     "op6_source_mixing": mixing.ORACLE,
 }
