@@ -1,8 +1,9 @@
 """The queries of this subpackage, and the SQL of those that SQL can express."""
 
-from bandgraph.llm import decontaminate, line_dedup, mixing, toxicity
+from bandgraph.llm import decontaminate, langid, line_dedup, mixing, toxicity
 
 QUERIES = {
+    "op9_language_id": langid.op9_language_id,
     "op7_toxicity": toxicity.op7_toxicity,
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op5_benchmark_decontamination": decontaminate.op5_benchmark_decontamination,
