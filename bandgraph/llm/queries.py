@@ -1,8 +1,9 @@
 """The queries of this subpackage, and the SQL of those that SQL can express."""
 
-from bandgraph.llm import cws, decontaminate, langid, line_dedup, mixing, toxicity
+from bandgraph.llm import cws, decontaminate, langid, line_dedup, mixing, partenum, toxicity
 
 QUERIES = {
+    "op4_ngram_jaccard": partenum.op4_ngram_jaccard,
     "op2_document_fingerprints": cws.op2_document_fingerprints,
     "op9_language_id": langid.op9_language_id,
     "op7_toxicity": toxicity.op7_toxicity,
