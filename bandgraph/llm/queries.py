@@ -1,8 +1,9 @@
 """The queries of this subpackage, and the SQL of those that SQL can express."""
 
-from bandgraph.llm import cws, decontaminate, langid, line_dedup, lm, mixing, partenum, toxicity
+from bandgraph.llm import cws, decontaminate, langid, licenses, line_dedup, lm, mixing, partenum, toxicity
 
 QUERIES = {
+    "op10_license_scan": licenses.op10_license_scan,
     "op8_lm_scoring": lm.op8_lm_scoring,
     "op4_ngram_jaccard": partenum.op4_ngram_jaccard,
     "op2_document_fingerprints": cws.op2_document_fingerprints,
