@@ -1,8 +1,9 @@
 """The queries of this subpackage, and the SQL of those that SQL can express."""
 
-from bandgraph.llm import cws, decontaminate, langid, licenses, line_dedup, lm, mixing, partenum, toxicity
+from bandgraph.llm import cws, decontaminate, langid, licenses, line_dedup, lm, mixing, partenum, toxicity, warc
 
 QUERIES = {
+    "op1_warc_revisits": warc.op1_warc_revisits,
     "op10_license_scan": licenses.op10_license_scan,
     "op8_lm_scoring": lm.op8_lm_scoring,
     "op4_ngram_jaccard": partenum.op4_ngram_jaccard,
@@ -14,6 +15,7 @@ QUERIES = {
     "op6_source_mixing": mixing.op6_source_mixing,
 }
 ORACLE = {
+    "op1_warc_revisits": warc.ORACLE,
     "op5_benchmark_decontamination": decontaminate.ORACLE,
     "op6_source_mixing": mixing.ORACLE,
 }
