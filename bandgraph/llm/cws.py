@@ -8,24 +8,19 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from bandgraph.llm.hashing import mixed, word_hashes
 from bandgraph.session import cut, table
 
 #: Samples of a fingerprint, and bits kept of each; unequal samples agree by chance once in 2**BITS.
 SAMPLES, BITS = 64, 16
 #: Terms are runs of so many words; a term's weight is WEIGHT_ROOT of its count.
 RUNS = (1, 2)
-#: Entries of the tables that gamma and uniform variates are read from by hash bits.
-TABLE = 1 << 14
-
-
-def _tables(seed: int = 20):
-    rng = np.random.default_rng(seed)
-    r, c, b = rng.gamma(2.0, 1.0, TABLE), rng.gamma(2.0, 1.0, TABLE), rng.random(TABLE)
-    mult = rng.integers(1, 2**63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    return r.astype(np.float32), np.log(c).astype(np.float32), b.astype(np.float32), mult, rng.integers(0, 2**63, SAMPLES, dtype=np.uint64)
+#: Entries of the table of gamma variates; a hash has 16 bits for its place there and 16 for the uniform variate.
+TABLE = 1 << 16
+#: Terms looked at together.
+CHUNK = 4_096
 
 
 class Sampler:
@@ -33,62 +28,80 @@ class Sampler:
 
     For sample k, term x and weight w: r and c are Gamma(2, 1) and beta uniform variates that depend on (k, x) only;
     t = floor(ln w / r + beta), ln y = r (t - beta), ln a = ln c - ln y - r; the sample is (x, t) of the least a. Two
-    weighted sets agree in a sample with probability sum of min weights / sum of max weights. Variates come from fixed
-    tables of TABLE entries each, read at disjoint bits of a hash of (k, x).
+    weighted sets agree in a sample with probability sum of min weights / sum of max weights. Variates are read by a hash
+    of (k, x): a pair (r, ln c) from a fixed table, beta from its other bits.
     """
 
-    def __init__(self):
-        self.r, self.lnc, self.beta, self.mult, self.add = _tables()
-        self.words: dict[str, int] = {}
-
-    def word_hashes(self, words: list[str]) -> np.ndarray:
-        known = self.words
-        if len(known) > 400_000:
-            known.clear()
-        out = []
-        for w in words:
-            h = known.get(w)
-            if h is None:
-                h = known[w] = xxhash.xxh3_64_intdigest(w)
-            out.append(h)
-        return np.array(out, np.uint64)
-
-    def terms(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+    def __init__(self, seed: int = 20):
+        rng = np.random.default_rng(seed)
+        self.r, self.lnc = rng.gamma(2.0, 1.0, TABLE).astype(np.float32), np.log(rng.gamma(2.0, 1.0, TABLE)).astype(np.float32)
+        self.mult = (rng.integers(0, 2**31, (SAMPLES, 1), dtype=np.uint64) * 2 + 1).astype(np.uint32)
+        self.add = rng.integers(0, 2**32, (SAMPLES, 1), dtype=np.uint64).astype(np.uint32)
+        self.known: dict[bytes, int] = {}
+
+    def terms(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Distinct term hashes, ascending, and their counts."""
-        h = self.word_hashes(text.split())
+        h = word_hashes((text or "").encode("utf-8", "replace").split(), self.known)
         runs, acc = [], h
         for n in range(1, max(RUNS) + 1):
             if n > 1:
                 acc = acc[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[n - 1 :] + np.uint64(n)
             if n in RUNS and len(acc):
                 runs.append(acc ^ (acc >> np.uint64(31)))
-        return np.unique(np.concatenate(runs), return_counts=True) if runs else (h, h)
+        return np.unique(np.concatenate(runs), return_counts=True) if runs else (h, h.astype(np.int64))
+
+    def least(self, x: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each sample the least ln a over the terms (ascending), its x, and the code of its (x, t)."""
+        best, term, code = np.full(SAMPLES, np.inf, np.float32), np.full(SAMPLES, 2**64 - 1, np.uint64), np.zeros(SAMPLES, np.uint64)
+        row = np.arange(SAMPLES)
+        for i in range(0, len(x), CHUNK):
+            part, lnw = x[i : i + CHUNK], 0.5 * np.log(count[i : i + CHUNK]).astype(np.float32)  # the root of the count
+            h = (part ^ (part >> np.uint64(32))).astype(np.uint32)[None] * self.mult
+            h += self.add
+            h ^= h >> np.uint32(15)
+            h *= np.uint32(0x2C1B3C6D)
+            h ^= h >> np.uint32(13)
+            at = h >> np.uint32(16)
+            r, beta = self.r[at], (h & np.uint32(0xFFFF)).astype(np.float32)
+            beta *= np.float32(1 / 65_536)
+            a = self.lnc[at]
+            heavy = np.flatnonzero(lnw)  # t is 0 for weight 1
+            t = np.zeros(a.shape, np.int8) if not len(heavy) else np.zeros(a.shape, np.int32)
+            if len(heavy):
+                t[:, heavy] = np.floor(lnw[heavy] / r[:, heavy] + beta[:, heavy])
+                beta -= t
+            beta -= 1
+            beta *= r
+            a += beta  # ln c - r (t - beta + 1)
+            k = a.argmin(1)
+            own, t = a[row, k], t[row, k]
+            less = own < best  # ties keep the lesser term
+            best, term = np.where(less, own, best), np.where(less, part[k], term)
+            code = np.where(less, part[k] + t.astype(np.int64).astype(np.uint64) * np.uint64(0xA24BAED4963EE407), code)
+        return best, term, code
+
+    def marks(self, code: np.ndarray) -> np.ndarray:
+        """BITS bits of each sample's code."""
+        return (mixed(code + np.arange(SAMPLES, dtype=np.uint64)) >> np.uint64(64 - BITS)).astype(np.uint16)
 
     def samples(self, text: str | None) -> np.ndarray:
         """The samples of a text as SAMPLES numbers of BITS bits; none for a text without words."""
-        x, count = self.terms(text or "")
-        if not len(x):
-            return np.zeros(0, np.uint16)
-        best, arg = np.full(SAMPLES, np.inf, np.float32), np.zeros(SAMPLES, np.uint64)
-        mask = np.uint64(TABLE - 1)
-        cols = np.arange(SAMPLES)
-        for i in range(0, len(x), 2_048):
-            part = x[i : i + 2_048]
-            lnw = 0.5 * np.log(count[i : i + 2_048]).astype(np.float32)  # the root of the count
-            h = part[:, None] * self.mult + self.add
-            h ^= h >> np.uint64(32)
-            h *= np.uint64(0xD6E8FEB86659FD93)
-            r = self.r[h >> np.uint64(50)]
-            beta = self.beta[(h >> np.uint64(36)) & mask]
-            t = np.floor(lnw[:, None] / r + beta)
-            a = self.lnc[(h >> np.uint64(22)) & mask] - r * (t - beta + 1)
-            k = a.argmin(0)
-            a, t = a[k, cols], t[k, cols]
-            less = a < best  # ties keep the lesser term
-            best = np.where(less, a, best)
-            code = (part[k] + (t.astype(np.int64).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))) * self.mult
-            arg = np.where(less, code >> np.uint64(64 - BITS), arg)
-        return arg.astype(np.uint16)
+        x, count = self.terms(text)
+        return self.marks(self.least(x, count)[2]) if len(x) else np.zeros(0, np.uint16)
+
+    def samples_of_both(self, one: str, two: str) -> tuple[np.ndarray, np.ndarray]:
+        """Samples of two texts; terms of equal weight in both are looked at once."""
+        (x, cx), (y, cy) = self.terms(one), self.terms(two)
+        at = np.minimum(np.searchsorted(y, x), max(len(y) - 1, 0))
+        same = (y[at] == x) & (cy[at] == cx) if len(y) else np.zeros(len(x), bool)
+        rest = np.ones(len(y), bool)
+        rest[at[same]] = False
+        shared, out = self.least(x[same], cx[same]), []
+        for z, c, n in ((x[~same], cx[~same], len(x)), (y[rest], cy[rest], len(y))):
+            own = self.least(z, c)
+            less = (own[0] < shared[0]) | (own[0] == shared[0]) & (own[1] < shared[1])  # as in least()
+            out.append(self.marks(np.where(less, own[2], shared[2])) if n else np.zeros(0, np.uint16))
+        return out[0], out[1]
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -159,22 +172,25 @@ def edit_chain(docs: DataFrame, partitions: int | None = None) -> DataFrame:
     names = [f.split()[0] for f in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sampler, held, out = Sampler(), None, []
+        sampler, held, waiting, out = Sampler(), None, None, []
 
-        def pair(doc_id, text, own, after, other):
-            if len(text) < 4:
-                new, mark = text, own
-            else:
-                mark = sampler.samples(new := edited(text, after))
+        def pair(doc_id, text, own, new, mark, other):
             return doc_id, len(text), hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest(), fingerprint_text(own), fingerprint_text(mark), likeness(own, mark), likeness(own, other)
 
         for batch in batches:
             for doc_id, text, ahead in zip(batch["doc_id"].to_pylist(), batch["text"], batch["ahead"].to_pylist(), strict=True):
                 text = text.as_py()
-                mark = sampler.samples(text)
                 if held:
-                    out.append(pair(*held, text, mark))
-                held = None if ahead else (doc_id, text, mark)
+                    new = edited(held[1], text)
+                    own, mark = sampler.samples_of_both(held[1], new)
+                    if waiting:
+                        out.append(pair(*waiting, own))
+                    waiting = (*held, own, new, mark)
+                if ahead:
+                    out.append(pair(*waiting, sampler.samples(text)))
+                    held = waiting = None
+                else:
+                    held = (doc_id, text)
                 if len(out) >= 1_000:
                     yield pa.RecordBatch.from_arrays(list(map(pa.array, zip(*out, strict=True))), names)
                     out = []
