@@ -1,7 +1,7 @@
 """Registered queries of the panel analytics engine, and their SQL."""
 
-from bandgraph.sources.tables import nation_count
+from bandgraph.plans.oracle import ORACLE
+from bandgraph.plans.queries import QUERIES
 
-FLAGSHIP = "nation_count"
-QUERIES = {"nation_count": nation_count}
-ORACLE = {"nation_count": "SELECT n_regionkey, count(*) AS n FROM nation GROUP BY 1"}
+FLAGSHIP = "zscore_returns"
+__all__ = ["FLAGSHIP", "ORACLE", "QUERIES"]

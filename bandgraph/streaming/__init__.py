@@ -1,0 +1 @@
+"""The panel engine has no streams: its inputs are finite panels, and every statistic looks at a whole panel."""
