@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-BY_ENTITY = Window.partitionBy("entity").orderBy("t")
+
+def by_entity():
+    return Window.partitionBy("entity").orderBy("t")
 
 
 def unpivot(wide: DataFrame, date: str | None = None) -> DataFrame:
     """A wide table (a date column, a column for each entity) as a panel; columns never become rows of a schema again."""
     date = date or wide.columns[0]
     values = [c for c in wide.columns if c != date]
-    long = wide.select(F.col(date).cast("timestamp").alias("t"), *(F.col(f"`{c}`").cast("double").alias(c) for c in values))
-    return long.unpivot("t", values, "entity", "px").where("t IS NOT NULL AND px IS NOT NULL AND NOT isnan(px)").select("entity", "t", "px")
+    cells = F.explode(F.array(*(F.struct(F.lit(c).alias("entity"), F.col(f"`{c}`").cast("double").alias("px")) for c in values)))
+    long = wide.select(F.col(f"`{date}`").cast("timestamp").alias("t"), cells.alias("cell")).select("t", "cell.*")
+    return long.where("t IS NOT NULL AND px IS NOT NULL AND NOT isnan(px)").select("entity", "t", "px")
 
 
 def grid(panel: DataFrame) -> DataFrame:
@@ -23,14 +26,14 @@ def grid(panel: DataFrame) -> DataFrame:
 
 def forward_filled(panel: DataFrame) -> DataFrame:
     """The grid with filled, the last px so far."""
-    rows = BY_ENTITY.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = by_entity().rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return grid(panel).withColumn("filled", F.last("px", ignorenulls=True).over(rows))
 
 
 def raw_log_returns(panel: DataFrame) -> DataFrame:
     """(entity, t, r) on the whole grid; r is null where there is no earlier or no positive price."""
     log = F.when(F.col("filled") > 0, F.ln("filled"))
-    return forward_filled(panel).withColumn("log", log).select("entity", "t", (F.col("log") - F.lag("log").over(BY_ENTITY)).alias("r"))
+    return forward_filled(panel).withColumn("log", log).select("entity", "t", (F.col("log") - F.lag("log").over(by_entity())).alias("r"))
 
 
 def dense(returns: DataFrame) -> DataFrame:
@@ -66,7 +69,7 @@ def aligned(panel: DataFrame, calendar: DataFrame) -> DataFrame:
     ends = panel.groupBy("entity").agg(F.min("t").alias("first"), F.max("t").alias("last"))
     days = ends.join(F.broadcast(calendar.select(F.col("t").alias("day"))), F.col("day").between(F.col("first"), F.col("last")))
     both = days.select("entity", F.col("day").alias("t"), F.lit(True).alias("open")).join(panel, ["entity", "t"], "full")
-    rows = BY_ENTITY.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = by_entity().rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # Days off the calendar don't fill in what they alone have: the series is put on the calendar first.
     on = both.where("open").withColumn("px", F.last("px", ignorenulls=True).over(rows))
     return on.where("px IS NOT NULL").select("entity", "t", "px")
@@ -74,7 +77,7 @@ def aligned(panel: DataFrame, calendar: DataFrame) -> DataFrame:
 
 def eligibility(panel: DataFrame, flat: float = 1e-12) -> DataFrame:
     """(entity, coverage, flat_rate): share of dates with a price; share of unchanged among pairs of adjacent dates with both, 1 without pairs."""
-    g = grid(panel).withColumn("before", F.lag("px").over(BY_ENTITY))
+    g = grid(panel).withColumn("before", F.lag("px").over(by_entity()))
     pair = F.col("px").isNotNull() & F.col("before").isNotNull()
     out = g.groupBy("entity").agg((F.count("px") / F.count("*")).alias("coverage"), F.count_if(pair & (F.abs(F.col("px") - F.col("before")) <= flat)).alias("same"), F.count_if(pair).alias("pairs"))
     return out.select("entity", "coverage", F.when(F.col("pairs") == 0, F.lit(1.0)).otherwise(F.col("same") / F.greatest("pairs", F.lit(1))).alias("flat_rate"))

@@ -9,42 +9,44 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from bandgraph.functions.keys import entity_code, label
 from bandgraph.operators import panel as P
 
-ENTITY, DATE = Window.partitionBy("entity"), Window.partitionBy("t")
+
+def over(column: str):
+    return Window.partitionBy(column)
 
 
 def winsorized(returns: DataFrame, low: float, high: float) -> DataFrame:
     """r clipped from below at its entity's low quantile, then from above at the 1 - high quantile of what that gives."""
     out = returns
     if low > 0:
-        out = out.withColumn("r", F.greatest("r", F.percentile("r", F.lit(low)).over(ENTITY)))
+        out = out.withColumn("r", F.greatest("r", F.percentile("r", F.lit(low)).over(over("entity"))))
     if high > 0:
-        out = out.withColumn("r", F.least("r", F.percentile("r", F.lit(1 - high)).over(ENTITY)))
+        out = out.withColumn("r", F.least("r", F.percentile("r", F.lit(1 - high)).over(over("entity"))))
     return out.withColumn("r", F.coalesce("r", F.lit(0.0)))
 
 
 def zscored(returns: DataFrame) -> DataFrame:
-    sd = F.coalesce(F.nullif(F.stddev_samp("r").over(ENTITY), F.lit(0.0)), F.lit(1e-8))
-    return returns.withColumn("r", F.coalesce((F.col("r") - F.avg("r").over(ENTITY)) / sd, F.lit(0.0)))
+    sd = F.coalesce(F.nullif(F.stddev_samp("r").over(over("entity")), F.lit(0.0)), F.lit(1e-8))
+    return returns.withColumn("r", F.coalesce((F.col("r") - F.avg("r").over(over("entity"))) / sd, F.lit(0.0)))
 
 
 def varying(returns: DataFrame, least: float = 1e-6) -> DataFrame:
     """Entities whose returns have more than that standard deviation."""
-    return returns.withColumn("_sd", F.stddev_samp("r").over(ENTITY)).where(F.col("_sd") > least).drop("_sd")
+    return returns.withColumn("_sd", F.stddev_samp("r").over(over("entity"))).where(F.col("_sd") > least).drop("_sd")
 
 
 def market_demeaned(returns: DataFrame) -> DataFrame:
-    return returns.withColumn("r", F.col("r") - F.avg("r").over(DATE))
+    return returns.withColumn("r", F.col("r") - F.avg("r").over(over("t")))
 
 
 def _residual(returns: DataFrame, factor: Column, least: float) -> DataFrame:
     """With f, alpha and beta of the regression of r on f in each entity, and f's sum of squares."""
     out = returns.withColumn("f", factor)
-    return out.withColumns({"beta": F.regr_slope("r", "f").over(ENTITY), "alpha": F.regr_intercept("r", "f").over(ENTITY), "sxx": F.regr_sxx("r", "f").over(ENTITY)}).withColumn("fits", F.coalesce(F.col("sxx") > least, F.lit(False)))
+    return out.withColumns({"beta": F.regr_slope("r", "f").over(over("entity")), "alpha": F.regr_intercept("r", "f").over(over("entity")), "sxx": F.regr_sxx("r", "f").over(over("entity"))}).withColumn("fits", F.coalesce(F.col("sxx") > least, F.lit(False)))
 
 
 def market_residual(returns: DataFrame) -> DataFrame:
     """Residuals of each entity on the mean of all; unchanged where the market has no variance."""
-    out = _residual(returns, F.avg("r").over(DATE), 1e-12)
+    out = _residual(returns, F.avg("r").over(over("t")), 1e-12)
     return out.withColumn("r", F.when(F.col("fits"), F.col("r") - F.col("alpha") - F.col("beta") * F.col("f")).otherwise(F.col("r"))).select(*returns.columns)
 
 
@@ -59,7 +61,7 @@ def in_mode(returns: DataFrame, mode: str) -> DataFrame:
 
 def leave_one_out(returns: DataFrame) -> DataFrame:
     """(entity, t, r, factor, residual, alpha, beta): regression of each entity on the mean of all others."""
-    others = (F.sum("r").over(DATE) - F.col("r")) / F.nullif(F.count("*").over(DATE) - 1, F.lit(0))
+    others = (F.sum("r").over(over("t")) - F.col("r")) / F.nullif(F.count("*").over(over("t")) - 1, F.lit(0))
     out = _residual(returns, others, 1e-20)
     return out.select("entity", "t", "r", F.col("f").alias("factor"), (F.col("r") - F.col("alpha") - F.col("beta") * F.col("f")).alias("residual"), "alpha", "beta", "fits")
 
