@@ -39,3 +39,41 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         labels = step.select("node", "comp")
         if not changed:
             return labels
+
+
+#: Keys with about this many members or more are hot; one member in SAMPLE is looked at to find them.
+HOT, SAMPLE = 2_048, 64
+
+
+def meetings(marks: DataFrame, key: str, member: str) -> DataFrame:
+    """(key, member, head) of marks (key, member), for keys that several members have; head is the least of them.
+
+    Marks are dealt out by key once, for the sums and for the join with them. Hot keys, found in a sample of the members,
+    go another way: their few heads are summed before the shuffle and broadcast, so that no task gathers a hot key.
+    """
+    picked = marks.where(F.pmod(F.xxhash64(member), F.lit(SAMPLE)) == 0)
+    # At most one hot key for each HOT marks or so, of 8 bytes.
+    hot = F.broadcast(cut(picked.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") >= HOT // SAMPLE).select(key)))
+    ends = lambda m: m.groupBy(key).agg(F.min(member).alias("head"), F.max(member).alias("tail")).where("head <> tail").select(key, "head")
+    cold = marks.join(hot, key, "left_anti").repartition(int(marks.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+    warm = marks.join(hot, key, "left_semi")
+    return cold.join(ends(cold).hint("shuffle_hash"), key).union(warm.join(F.broadcast(ends(warm)), key))
+
+
+def split_keys(members: DataFrame, key: str, member: str, comp: DataFrame, chunk: int = 512) -> tuple[DataFrame, DataFrame]:
+    """Two frames whose join on (key, i, j) has the pairs of members that share a key and lie in different components.
+
+    members (key, member); comp (node, comp). Only keys with several components are kept. There, members outside the
+    largest component (x, of component xc) meet all (y, yc), both dealt out in chunks, so no key is one task's. The caller
+    adds conditions to the join, xc <> yc the first, so that no other pair becomes a row.
+    """
+    inside = members.join(comp, F.col(member) == F.col("node"), "left").select(key, member, F.coalesce("comp", member).alias("comp")).distinct()
+    main = inside.groupBy(key, "comp").agg(F.count("*").alias("k")).groupBy(key).agg(F.max(F.struct("k", "comp")).alias("top"), F.sum("k").alias("m"))
+    part = lambda n: F.ceil(n / chunk).cast("int")
+    main = main.where("top.k < m").select(key, F.col("top.comp").alias("main"), part(F.col("m")).alias("chunks"), part(F.col("m") - F.col("top.k")).alias("out_chunks"))
+    inside = cut(inside.join(main, key))
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda n: F.pmod(F.hash(member), F.col(n))
+    x = inside.where("comp <> main").select(key, own("out_chunks").alias("i"), spread("chunks").alias("j"), F.col(member).alias("x"), F.col("comp").alias("xc"))
+    y = inside.select(key, spread("out_chunks").alias("i"), own("chunks").alias("j"), F.col(member).alias("y"), F.col("comp").alias("yc"))
+    return x, y

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -12,39 +11,30 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from bandgraph.llm.common import components
+from bandgraph.llm.common import components, meetings, split_keys
+from bandgraph.llm.hashing import MULT, hashed_words, mixed, pieces
 from bandgraph.session import cut, table
 
 #: Words of a shingle, and the least similarity in percent: two sets link when 100 * common >= PERCENT * union.
 SHINGLE, PERCENT = 4, 85
 #: Second-level parts of a first-level part, and how many of them may differ: signatures are subsets of the others.
 PARTS, DIFFER = 2, 1
+#: Parts are this much more than differences, so that parts with elements alone are more than differences.
+SPARE = 1.1
+#: Sets that would have more signatures have this many, of parts with WIDE elements each on average.
+MOST, WIDE = 128, 8
 #: Ratio of a size band's ends. Narrow bands allow few differences but put more sets in two families; 1.6 gives least signatures.
 BAND = 1.6
 #: Bits of a set's parity sketch.
 SKETCH = 512
-#: Members of a hot signature that are compared at once; larger groups are dealt out in chunks.
-CHUNK = 512
 #: Buckets of ids by which texts are chosen before they are shuffled; also the most rows of that broadcast.
 BUCKETS = 1 << 20
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-UPPER = {i: i + 32 for i in range(65, 91)}
-MULT = np.uint64(0x9E3779B97F4A7C15)
-
-
-def shingles(text: str | None, size: int = SHINGLE, known: dict | None = None) -> np.ndarray:
-    """Distinct 64-bit hashes, ascending, of the text's shingles: size consecutive words, or all words if fewer."""
-    words = WORD.findall((text or "").translate(UPPER))
-    if not words:
-        return np.zeros(0, np.uint64)
-    known = {} if known is None else known
-    h = []
-    for w in words:
-        x = known.get(w)
-        if x is None:
-            x = known[w] = xxhash.xxh3_64_intdigest(w)
-        h.append(x)
-    h = np.array(h, np.uint64)
+
+
+def shingles_of(h: np.ndarray, size: int = SHINGLE) -> np.ndarray:
+    """Distinct 64-bit hashes, ascending, of shingles of words with hashes h: size consecutive ones, or all if fewer."""
+    if not len(h):
+        return h
     n = min(size, len(h))
     acc = np.full(len(h) - n + 1, len(h) if len(h) < size else 0, np.uint64)
     for j in range(n):
@@ -53,6 +43,17 @@ def shingles(text: str | None, size: int = SHINGLE, known: dict | None = None) -
     return np.unique(acc ^ (acc >> np.uint64(29)))
 
 
+def sets(texts: pa.Array, size: int) -> list[np.ndarray]:
+    """The set of each text."""
+    u, place, sizes = hashed_words(texts)
+    h, ends = u[place], np.cumsum(sizes)
+    return [shingles_of(h[e - n : e], size) for e, n in zip(ends, sizes, strict=True)]
+
+
+def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
+    return sets(pa.array([text], pa.string()), size)[0]
+
+
 def parity(x: np.ndarray) -> np.ndarray:
     """SKETCH bits as longs, each the parity of how many elements fall on it: two differ in at most |x sym-diff y| bits."""
     at = (x * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - SKETCH.bit_length() + 1)
@@ -88,35 +89,53 @@ class Bands:
 def signatures(x: np.ndarray, bands: Bands) -> np.ndarray:
     """64-bit signatures of a set; linked sets share at least one.
 
-    The domain of element hashes is cut into n1 first-level parts by k2 = DIFFER errors each, n1 (k2 + 1) > k: some part
-    has at most k2 differing elements, so at most k2 of its PARTS second-level parts differ, and one of the subsets of
-    PARTS - k2 second-level parts is equal. Each subset gives the hash of the family, the subset and its elements' sum.
+    The domain of element hashes is cut into first-level parts, these into PARTS second-level parts, n1 PARTS in all. With
+    k differences at most, and n1 (DIFFER + 1) > k, some first-level part has at most DIFFER of them, so one subset of
+    PARTS - DIFFER of its second-level parts is equal in both sets. Each subset gives the hash of the family, the subset and
+    its elements. Subsets without elements are left out if the set has more than k others: at most k of those can differ,
+    so an equal one is left; a set with fewer gives all.
+
+    Of sets with k >= MOST, whose signatures would be as many as their differences, only the first MOST parts of a coarser
+    cut give one each. A part is equal with probability 0.27 or more for linked sets (WIDE elements, of which 0.162 in
+    the mean differ at the least similarity), so two linked sets share none with probability under 1e-17.
     """
-    n, out = len(x), []
-    for family in bands.families(n):
+    out = []
+    for family in bands.families(len(x)):
         k = bands.budget(family)
-        n1 = (k + 1 + DIFFER) // (DIFFER + 1) if k else 1
-        keep = PARTS if k == 0 else PARTS - DIFFER
-        place = ((x * np.uint64(0x94D049BB133111EB)) >> np.uint64(33)).astype(np.int64) % (n1 * PARTS)
-        mixed = x * MULT
-        mixed ^= mixed >> np.uint64(31)
-        sums = _sums(place, mixed, n1 * PARTS).reshape(n1, PARTS)
+        h = (x * np.uint64(0x94D049BB133111EB)) >> np.uint64(33)
+        seed = np.uint64((family * 131 + 1) * 0xA24BAED4963EE407 % 2**64)
+        if k >= MOST:
+            place = (h % np.uint64(bands.top(family) // WIDE)).astype(np.int64)
+            few = place < MOST
+            sums, full = _sums(place[few], x[few], MOST)
+            out.append(_mark(seed, np.arange(MOST, dtype=np.uint64), [sums])[full])
+            continue
+        n1 = int(np.ceil(SPARE * (k + 1) / (DIFFER + 1))) if k else 1
+        keep = PARTS - DIFFER if k else PARTS
+        sums, full = (v.reshape(n1, PARTS) for v in _sums((h % np.uint64(n1 * PARTS)).astype(np.int64), x, n1 * PARTS))
+        sparse = full.sum() > k if keep == 1 else False
         for c, subset in enumerate(combinations(range(PARTS), keep)):
-            h = np.full(n1, family * 131 + c + 1, np.uint64) * np.uint64(0xA24BAED4963EE407) + np.arange(n1, dtype=np.uint64)
-            for s in subset:
-                h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93) + sums[:, s]
-            h = (h ^ (h >> np.uint64(29))) * MULT
-            out.append(h ^ (h >> np.uint64(32)))
+            mark = _mark(seed + np.uint64(c), np.arange(n1, dtype=np.uint64), [sums[:, s] for s in subset])
+            out.append(mark[full[:, subset[0]]] if sparse else mark)
     return np.concatenate(out)
 
 
-def _sums(place: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+def _mark(seed, place: np.ndarray, sums: list[np.ndarray]) -> np.ndarray:
+    h = seed + place * np.uint64(0xD6E8FEB86659FD93)
+    for s in sums:
+        h = mixed(h) + s
+    return mixed(h)
+
+
+def _sums(place: np.ndarray, x: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sum of mixed elements in each of n parts, and whether it has any."""
     order = np.argsort(place, kind="stable")
-    p = place[order]
-    first = np.flatnonzero(np.r_[True, p[1:] != p[:-1]])
-    out = np.zeros(n, np.uint64)
-    out[p[first]] = np.add.reduceat(values[order], first)
-    return out
+    p, values = place[order], mixed(x)[order]
+    first = np.flatnonzero(np.r_[True, p[1:] != p[:-1]]) if len(p) else np.zeros(0, np.int64)
+    out, full = np.zeros(n, np.uint64), np.zeros(n, bool)
+    if len(p):
+        out[p[first]], full[p[first]] = np.add.reduceat(values, first), True
+    return out, full
 
 
 def linked(x: np.ndarray, y: np.ndarray, percent: int = PERCENT) -> bool:
@@ -124,72 +143,55 @@ def linked(x: np.ndarray, y: np.ndarray, percent: int = PERCENT) -> bool:
     return 100 * common >= percent * (len(x) + len(y) - common)
 
 
-def profiles(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """(doc_id, n_shingles, set_id, sketch): set_id is a hash of the set, null without words."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict = {}
-        for batch in batches:
-            if len(known) > 400_000:
-                known.clear()
-            n, ids, sketches = [], [], []
-            for text in batch["text"]:
-                x = shingles(text.as_py(), size, known)
-                n.append(len(x))
-                ids.append(xxhash.xxh3_64_intdigest(x.tobytes()) - (1 << 63) if len(x) else None)
-                sketches.append(parity(x) if len(x) else None)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.array(sketches, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "set_id", "sketch"])
+def set_id(x: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(x.tobytes()) - (1 << 63)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, set_id bigint, sketch array<bigint>")
 
+def profiles(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, set_id, sketch, sigs) of docs (doc_id, text); set_id is a hash of the set, null without words.
 
-def _marks(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """(sig, set_id) of every document; a task gives an equal set once, so copies are combined before the shuffle."""
+    A task gives the sigs of equal sets once, so copies are combined before anything is shuffled.
+    """
+    schema = "doc_id bigint, n_shingles bigint, set_id bigint, sketch array<bigint>, sigs array<bigint>"
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+    names = [f.split()[0] for f in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict = {}
-        bands, done = Bands(percent), set()
+        bands, done, out = Bands(percent), set(), []
+
+        def flush():
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
+
         for batch in batches:
-            if len(known) > 400_000:
-                known.clear()
-            if len(done) > 1_000_000:
+            if len(done) > 200_000:
                 done.clear()
-            sigs, ids = [], []
-            for text in batch["text"]:
-                x = shingles(text.as_py(), size, known)
-                if not len(x) or (own := xxhash.xxh3_64_intdigest(x.tobytes()) - (1 << 63)) in done:
-                    continue
-                done.add(own)
-                sigs.append(s := signatures(x, bands))
-                ids.append(np.full(len(s), own, np.int64))
-                if sum(map(len, ids[-200:])) > 500_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(ids))], ["sig", "set_id"])
-                    sigs, ids = [], []
-            if sigs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(ids))], ["sig", "set_id"])
-
-    return docs.select("text").mapInArrow(run, "sig bigint, set_id bigint")
+            for doc_id, x in ((d, x) for part in pieces(batch) for d, x in zip(part["doc_id"].to_pylist(), sets(part["text"], size), strict=True)):
+                own = set_id(x) if len(x) else None
+                fresh = own is not None and doc_id is not None and own not in done
+                if fresh:
+                    done.add(own)
+                out.append((doc_id, len(x), own, parity(x) if len(x) else None, signatures(x, bands).view(np.int64) if fresh else None))
+                if len(out) >= 2_000:
+                    yield flush()
+                    out.clear()
+        if out:
+            yield flush()
+
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) of set_ids whose sets, made anew from texts (set_id, text), link."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict = {}
-        kept: dict = {}
-
-        def of(k, text):
-            if k not in kept:
-                if len(kept) > 1_000:
-                    kept.clear()
-                kept[k] = shingles(text, size, known)
-            return kept[k]
-
-        for pdf in batches:
-            if len(known) > 400_000:
-                known.clear()
-            ok = [linked(of(a, x), of(b, y), percent) for a, b, x, y in zip(pdf.a, pdf.b, pdf.x, pdf.y, strict=True)]
-            yield pdf.loc[ok, ["a", "b"]]
+        for whole in batches:
+            for first in range(0, len(whole), 100):
+                pdf = whole.iloc[first : first + 100]
+                text = dict(zip(pdf.a, pdf.x, strict=True)) | dict(zip(pdf.b, pdf.y, strict=True))
+                # A set that isn't the one meant is of another text under the same id.
+                made = {k: x for k, x in zip(text, sets(pa.array(list(text.values()), pa.string()), size), strict=True) if len(x) and set_id(x) == k}
+                ok = [a in made and b in made and linked(made[a], made[b], percent) for a, b in zip(pdf.a, pdf.b, strict=True)]
+                yield pdf.loc[ok, ["a", "b"]]
 
     text = lambda k, t: texts.select(F.col("set_id").alias(k), F.col("text").alias(t))
     return pairs.join(text("a", "x"), "a").join(text("b", "y"), "b").mapInPandas(run, "a bigint, b bigint")
@@ -202,52 +204,107 @@ def _may_link(x: str, y: str, percent: int):
     return (F.abs(F.col(f"{x}.n") - F.col(f"{y}.n")) * (100 + percent) <= most) & (far * (100 + percent) <= most)
 
 
+def _nearest(sides: DataFrame, limit: int, percent: int) -> DataFrame:
+    """Pairs (a, b, more) that may link, from rows (sig, i, j, side, set_id, comp, n, sketch) sorted by (sig, i, j, side).
+
+    In each (sig, i, j), which has two chunks of rows at most, every row of side 0 is compared with those of side 1 in
+    other components by sizes and sketches, which bound the symmetric difference from below. The `limit` nearest by sketch
+    are given; more says that there are others. A task gives a pair once.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set = set()
+        held, names = None, ["sig", "i", "j", "side", "set_id", "comp", "n"]
+        for batch in _with_end(batches):
+            if batch is None:
+                if held is None:
+                    return
+                cols, sk, last = held[0], held[1], True
+            else:
+                cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(7)]
+                sk = batch.column(7).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, SKETCH // 64)
+                if held is not None:
+                    cols, sk = [np.concatenate(p) for p in zip(held[0], cols, strict=True)], np.concatenate([held[1], sk])
+                last = False
+            if not len(sk):
+                continue
+            sig, i, j, side, ids, comp, n = cols
+            first = np.flatnonzero(np.r_[True, (sig[1:] != sig[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
+            ends = np.r_[first[1:], len(sig)]
+            out = []
+            for lo, hi in zip(first if last else first[:-1], ends if last else ends[:-1], strict=True):
+                mid = lo + int(np.searchsorted(side[lo:hi], 1))
+                for x in range(lo, mid):
+                    far = np.bitwise_count(sk[mid:hi] ^ sk[x]).sum(1, dtype=np.int64)
+                    most = (n[mid:hi] + n[x]) * (100 - percent)
+                    ok = np.flatnonzero((comp[mid:hi] != comp[x]) & (far * (100 + percent) <= most) & (np.abs(n[mid:hi] - n[x]) * (100 + percent) <= most))
+                    more = len(ok) > limit
+                    for y in ok[np.argsort(far[ok], kind="stable")[:limit]] if more else ok:
+                        pair = (min(ids[x], ids[mid + y]), max(ids[x], ids[mid + y]), more)
+                        if pair not in seen:
+                            seen.add(pair)
+                            out.append(pair)
+            if len(seen) > 100_000:
+                seen.clear()
+            held = None if last else ([c[first[-1] :].copy() for c in cols], sk[first[-1] :].copy())
+            for k in range(0, len(out), 50_000):
+                part = out[k : k + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part, strict=True), (pa.int64(), pa.int64(), pa.bool_()), strict=True)], ["a", "b", "more"])
+
+    found = sides.mapInArrow(run, "a bigint, b bigint, more boolean")
+    return found.groupBy("a", "b").agg(F.max("more").alias("more"))
+
+
+def _with_end(items):
+    yield from items
+    yield None
+
+
 def _texts(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
     """(set_id, text) of the representatives in pairs. Texts outside the wanted ids' buckets stay where they are."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct().join(classes.select("set_id", "rep"), "set_id")
     wanted = cut(wanted)
     bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(BUCKETS))
     chosen = F.broadcast(wanted.select(bucket("rep").alias("k")).distinct())  # at most BUCKETS rows
-    some = docs.join(chosen, bucket("doc_id") == F.col("k"), "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    some = docs.join(chosen, bucket("doc_id") == F.col("k"), "left_semi")
     return wanted.join(some, F.col("rep") == F.col("doc_id")).select("set_id", "text")
 
 
 def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row of docs (doc_id, text); exact up to 64-bit hash collisions.
+    """(doc_id, n_shingles, component_id) for each row of docs (doc_id, text); exact but for hash collisions and odds of
+    1e-17 (see signatures).
 
     Equal sets are one class, which one representative (the least doc_id) stands for. Representatives that share a
-    signature are candidates. First each is verified against its signature's least set: this joins large groups of near
-    copies in as many pairs as they have members. Then, of signatures whose members lie in several components, members
-    outside the largest are compared with those in other components, in chunks, by sizes and sketches first. So no link
-    between components is lost, and pairs within one are never all made.
+    signature are candidates. First each is verified against the least set of its signatures: this joins large groups of
+    near copies in as many pairs as they have members. Then, of signatures whose members lie in several components, members
+    outside the largest are compared with those in other components, in chunks, by sizes and sketches first. Each gives
+    its few nearest to be verified; as long as one has more, this is repeated over the components that are left, for more
+    of the nearest. So no link between components is lost, and pairs within one are never all made.
 
     Null or wordless texts have n_shingles 0 and are their own component. A null id isn't linked with anything and has a
     null component. Rows of equal id are one document, with the least of their texts. An empty table gives no rows.
     """
     docs = docs.select("doc_id", "text")
-    found = cut(profiles(docs, size))
+    found = cut(profiles(docs, size, percent))
     one = F.min(F.struct("doc_id", F.col("n_shingles").alias("n"), "sketch")).alias("m")
     classes = found.where("set_id IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_id").agg(one)
     classes = cut(classes.select("set_id", F.col("m.doc_id").alias("rep"), "m.n", "m.sketch"))
-    marks = cut(_marks(docs.where("doc_id IS NOT NULL"), size, percent))
-    heads = marks.groupBy("sig").agg(F.min("set_id").alias("head"), F.max("set_id").alias("tail")).where("head <> tail").select("sig", "head")
-    members = cut(marks.join(heads, "sig").distinct())
+    members = cut(meetings(found.select(F.explode("sigs").alias("sig"), "set_id"), "sig", "set_id").distinct())
     side = lambda k: classes.select(F.col("set_id").alias(k), F.struct("n", "sketch").alias(f"p{k}"))
-    star = members.where("set_id <> head").select(F.col("head").alias("a"), F.col("set_id").alias("b")).distinct()
+    star = members.where("set_id <> head").groupBy(F.col("set_id").alias("b")).agg(F.min("head").alias("a"))
     star = cut(star.join(side("a"), "a").join(side("b"), "b").where(_may_link("pa", "pb", percent)).select("a", "b"))
     links = cut(_verified(star, _texts(star, docs, classes), size, percent))
-    comp = components(links)
-    inside = members.join(comp, F.col("set_id") == F.col("node"), "left").select("sig", "set_id", "head", F.coalesce("comp", "set_id").alias("comp"))
-    main = inside.groupBy("sig", "comp").agg(F.count("*").alias("k")).groupBy("sig").agg(F.max(F.struct("k", "comp")).alias("top"), F.sum("k").alias("m"))
-    main = main.where("top.k < m").select("sig", F.col("top.comp").alias("main"), F.ceil(F.col("m") / CHUNK).cast("int").alias("chunks"), F.ceil((F.col("m") - F.col("top.k")) / CHUNK).cast("int").alias("out_chunks"))
-    inside = cut(inside.join(main, "sig").join(side("set_id"), "set_id"))
-    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    own = lambda n: F.pmod(F.hash("set_id"), F.col(n))
-    x = inside.where("comp <> main").select("sig", own("out_chunks").alias("i"), spread("chunks").alias("j"), F.col("set_id").alias("x"), F.col("comp").alias("xc"), F.col("pset_id").alias("px"))
-    y = inside.select("sig", spread("out_chunks").alias("i"), own("chunks").alias("j"), F.col("set_id").alias("y"), F.col("comp").alias("yc"), F.col("pset_id").alias("py"), "head")
-    cross = x.join(y, ["sig", "i", "j"]).where((F.col("xc") != F.col("yc")) & (F.col("x") != F.col("head")) & (F.col("y") != F.col("head")) & _may_link("px", "py", percent))
-    cross = cut(cross.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-    links = links.union(_verified(cross, _texts(cross, docs, classes), size, percent))
+    limit = 1
+    while True:
+        x, y = split_keys(members.select("sig", "set_id"), "sig", "set_id", components(links))
+        rows = x.select("sig", "i", "j", F.lit(0).alias("side"), F.col("x").alias("set_id"), F.col("xc").alias("comp"))
+        rows = rows.union(y.select("sig", "i", "j", F.lit(1), "y", "yc")).join(classes.select("set_id", "n", "sketch"), "set_id")
+        rows = rows.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j", "side").select("sig", "i", "j", "side", "set_id", "comp", "n", "sketch")
+        cross = cut(_nearest(rows, limit, percent))
+        links = cut(links.union(_verified(cross.select("a", "b"), _texts(cross, docs, classes), size, percent)))
+        if cross.where("more").isEmpty():
+            break
+        limit *= 8
     rep = lambda k: classes.select(F.col("set_id").alias(k), F.col("rep").alias(f"r{k}"))
     comp = components(links.join(rep("a"), "a").join(rep("b"), "b"), "ra", "rb")
     ids = classes.select("set_id", "rep").join(comp, F.col("rep") == F.col("node"), "left").select("set_id", F.coalesce("comp", "rep").alias("component"))
