@@ -39,12 +39,12 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, compression: str = "zstd") -> DataFrame:
     """Write df once to the shared folder and read it back: lineage ends there, and lost executors lose nothing.
 
     One Parquet write computes the plan once, which DataFrame.checkpoint() doesn't (it counts, then writes).
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
