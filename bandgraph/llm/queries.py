@@ -15,6 +15,7 @@ QUERIES = {
     "op6_source_mixing": mixing.op6_source_mixing,
 }
 ORACLE = {
+    "op4_ngram_jaccard": partenum.ORACLE,
     "op1_warc_revisits": warc.ORACLE,
     "op5_benchmark_decontamination": decontaminate.ORACLE,
     "op6_source_mixing": mixing.ORACLE,
