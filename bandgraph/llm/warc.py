@@ -74,7 +74,9 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     found = found.where("source IS NOT NULL").select("curl", F.col("date").alias("at"), "source")
     out = revisits.join(found, (F.col("canonical_url") == F.col("curl")) & (F.col("date") == F.col("at")), "left").drop("curl", "at")
     response = full.groupBy(F.col("record_id").cast("string").alias("rid")).agg(F.max_by(F.struct(F.col("headers").alias("source_headers"), *(F.col(c).alias(f"source_{c}") for c in extra)), F.coalesce("digest", F.lit(""))).alias("r")).select("rid", "r.*")
-    out = out.join(response, F.col("source") == F.col("rid"), "left").drop("rid")
+    # Revisits without a source have keys of their own, or one task would get them all.
+    key = F.coalesce("source", F.concat(F.lit("\0"), F.coalesce(F.col("record_id").cast("string"), F.xxhash64("url", "date").cast("string"))))
+    out = out.join(response, key == F.col("rid"), "left").drop("rid")
     tag = lambda h: F.regexp_replace(F.trim(F.element_at(h, "etag")), "^W/", "")
     modified = lambda h: F.trim(F.element_at(h, "last-modified"))
     same = lambda f, g: F.when(f.isNotNull() & g.isNotNull(), f == g)
