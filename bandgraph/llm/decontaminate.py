@@ -8,10 +8,10 @@ from bandgraph.llm.common import lower_ascii
 from bandgraph.session import cut, table
 
 WIDTH = 10
-#: Java and RE2 pattern of what is between words: ASCII that is neither letter nor digit.
-BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What is between words: ASCII that is neither letter a-z nor digit, one by one, which Java looks up in one table.
+BREAK = "[" + "".join(rf"\x{i:02X}" for i in [*range(48), *range(58, 97), *range(123, 128)]) + "]+"
 #: A word in either case, to count words without lower-casing.
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+WORD = "[^" + "".join(rf"\x{i:02X}" for i in [*range(48), *range(58, 65), *range(91, 97), *range(123, 128)]) + "]+"
 #: Windows up to this many rows (about 200 bytes each) are broadcast; beyond it both sides are shuffled.
 BROADCAST_ROWS = 500_000
 #: Documents are read in pieces of this many words, each with the WIDTH - 1 words after it, so that no row grows with
