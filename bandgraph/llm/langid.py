@@ -25,7 +25,7 @@ SWITCH = 0.1
 UNDETERMINED = "und"
 WORD = re.compile(r"[^\W\d_]+")
 #: Words scored at once, which bounds a worker's memory whatever the batch is.
-BLOCK = 400_000
+BLOCK = 100_000
 
 
 def features(words: list[str]) -> np.ndarray:
@@ -66,12 +66,12 @@ def features(words: list[str]) -> np.ndarray:
 
 def _emissions(words: list[str], weights: np.ndarray) -> np.ndarray:
     out = np.empty((len(words), weights.shape[1]), np.float32)
-    for i in range(0, len(words), 50_000):
-        f = features(words[i : i + 50_000])
+    for i in range(0, len(words), 20_000):
+        f = features(words[i : i + 20_000])
         e = np.zeros((len(f), weights.shape[1]), np.float32)
         for k in range(f.shape[1]):
             e += weights[f[:, k]]
-        out[i : i + 50_000] = e
+        out[i : i + 20_000] = e
     return out
 
 
@@ -165,7 +165,7 @@ class Tagger:
 class Scorer:
     """Applies a Tagger to texts; keeps the emissions of words it has seen, up to a bound."""
 
-    def __init__(self, tagger: Tagger, keep: int = 300_000):
+    def __init__(self, tagger: Tagger, keep: int = 100_000):
         self.t, self.keep = tagger, keep
         self.ids: dict[str, int] = {}
         self.e = np.zeros((0, tagger.weights.shape[1]), np.float32)
