@@ -27,6 +27,8 @@ MOST, WIDE = 128, 8
 BAND = 1.6
 #: Bits of a set's parity sketch.
 SKETCH = 512
+#: One signature in FIRST is looked at in the first round.
+FIRST = 8
 #: Buckets of ids by which texts are chosen before they are shuffled; also the most rows of that broadcast.
 BUCKETS = 1 << 20
 
@@ -294,17 +296,20 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
     star = members.where("set_id <> head").groupBy(F.col("set_id").alias("b")).agg(F.min("head").alias("a"))
     star = cut(star.join(side("a"), "a").join(side("b"), "b").where(_may_link("pa", "pb", percent)).select("a", "b"))
     links = cut(_verified(star, _texts(star, docs, classes), size, percent))
-    limit = 1
+    # A part of the signatures joins most of what is close; then all are looked at, for what is left.
+    some, limit = members.where(F.pmod(F.xxhash64("sig"), F.lit(FIRST)) == 0), 1
     while True:
-        x, y = split_keys(members.select("sig", "set_id"), "sig", "set_id", components(links))
+        x, y = split_keys(some.select("sig", "set_id"), "sig", "set_id", components(links))
         rows = x.select("sig", "i", "j", F.lit(0).alias("side"), F.col("x").alias("set_id"), F.col("xc").alias("comp"))
         rows = rows.union(y.select("sig", "i", "j", F.lit(1), "y", "yc")).join(classes.select("set_id", "n", "sketch"), "set_id")
         rows = rows.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j", "side").select("sig", "i", "j", "side", "set_id", "comp", "n", "sketch")
         cross = cut(_nearest(rows, limit, percent))
         links = cut(links.union(_verified(cross.select("a", "b"), _texts(cross, docs, classes), size, percent)))
-        if cross.where("more").isEmpty():
-            break
-        limit *= 8
+        if some is members:
+            if cross.where("more").isEmpty():
+                break
+            limit *= 8
+        some = members
     rep = lambda k: classes.select(F.col("set_id").alias(k), F.col("rep").alias(f"r{k}"))
     comp = components(links.join(rep("a"), "a").join(rep("b"), "b"), "ra", "rb")
     ids = classes.select("set_id", "rep").join(comp, F.col("rep") == F.col("node"), "left").select("set_id", F.coalesce("comp", "rep").alias("component"))
