@@ -61,7 +61,7 @@ def features(words: list[str]) -> np.ndarray:
             for j in range(k):
                 g = g * np.uint64(1_114_112) + c[:, i + j]
             out.append(mixed(g, 300 + k) * (i + k <= size + (2 if k > 1 else 1)))
-    return np.stack(out, 1).astype(np.int64)
+    return np.stack([o.astype(np.int32) for o in out], 1)
 
 
 def _emissions(words: list[str], weights: np.ndarray) -> np.ndarray:
@@ -133,6 +133,8 @@ class Tagger:
         np.fill_diagonal(self.moves, 2.0)
         g2, m2 = np.full((SIZE, n), 1e-6, np.float32), np.full((n, n), 1e-6)
         each = np.bincount(seq, minlength=len(ids))[:, None]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        runs = [(slice(i, i + 250), ends[i], ends[min(i + 250, len(sizes))]) for i in range(0, len(sizes), 250)]
         for step in range(steps):
             e = np.zeros((len(ids), n), np.float32)
             for k in range(f.shape[1]):
@@ -144,11 +146,15 @@ class Tagger:
                 grad = want - p * each
                 gm = None
             else:
-                free, cf = forward_backward(e[seq], sizes, self.moves, True)
-                held, ch = forward_backward(e[seq] + clamp, sizes, self.moves, True)
-                diff = held - free
-                grad = np.stack([np.bincount(seq, diff[:, s], len(ids)) for s in range(n)], 1)
-                gm = ch - cf - 1e-3 * self.moves * len(seq)
+                grad, gm = np.zeros((len(ids), n)), -1e-3 * self.moves * len(seq)
+                for c, lo, hi in runs:  # some chains at a time, which bounds the driver's memory
+                    own = e[seq[lo:hi]]
+                    free, cf = forward_backward(own, sizes[c], self.moves, True)
+                    held, ch = forward_backward(own + clamp[lo:hi], sizes[c], self.moves, True)
+                    held -= free
+                    for s in range(n):
+                        grad[:, s] += np.bincount(seq[lo:hi], held[:, s], len(ids))
+                    gm += ch - cf
             # Words count by the root of how often they occur, so that a few common ones don't decide every feature.
             grad = grad / np.sqrt(np.maximum(each, 1))
             gw = np.stack([sum(np.bincount(f[:, k], grad[:, s], SIZE) for k in range(f.shape[1])) for s in range(n)], 1).astype(np.float32)
