@@ -174,6 +174,38 @@ def test_simhash_of_long_lines_is_the_majority(spark):
             assert s & (2**64 - 1) == want, n
 
 
+def test_whole_line_dedup_finds_what_edit_similarity_alone_links(spark):
+    rng = random.Random(47)
+    base = [prose(rng, n) for n in range(3, 33)]
+    rows = [(i, t, None) for i, t in enumerate(base)]
+    for k, t in enumerate(base):
+        w = t.split()
+        for p in rng.sample(range(len(w)), max(1, len(w) // 12)):
+            w[p] = rng.choice(["changed", "renewed"])
+        rows += [(100 + k, " ".join(w), None), (200 + k, t[:5] + t[6:], None), (300 + k, t + "s", None)]
+    rows += [(500, "subscribe", None), (501, "Subscribed", None), (502, "", None), (503, None, None)]
+    norms = sorted({normal(t) for _, t, _ in rows if t})
+    parent, links = {n: n for n in norms}, 0
+
+    def root(n):
+        while parent[n] != n:
+            n = parent[n]
+        return n
+
+    for a, b in combinations(norms, 2):
+        if 5 * abs(len(a) - len(b)) <= max(len(a), len(b)) and 5 * edits(a, b) <= max(len(a), len(b)):
+            parent[root(a)], links = root(b), links + 1
+    first = {}
+    for i, t, _ in rows:
+        if t:
+            first.setdefault(root(normal(t)), i)
+    want = {i for i, t, _ in rows if t and first[root(normal(t))] != i}
+    got = {r.doc_id for r in lines.dedup_lines(docs(spark, rows), whole=True).where("size(removed) > 0").collect()}
+    assert links > 100 and got == want
+    narrow = {r.doc_id for r in lines.dedup_lines(docs(spark, rows)).where("size(removed) > 0").collect()}
+    assert len(narrow) < len(want)
+
+
 def jaccard_truth(rows, size, percent):
     def shingles(t):
         w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate({i: i + 32 for i in range(65, 91)}))
