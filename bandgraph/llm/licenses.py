@@ -16,6 +16,8 @@ NEGATIVES = 4_000
 GRAMS = 3
 #: Least calibrated probability of a family, else 'unknown'; least share of a template's n-grams that confirms it.
 SURE, CONFIRM = 0.5, 0.5
+#: Most n-grams of a template that must be there whole (three words have six), as half of them is any mention.
+WHOLE = 6
 UNKNOWN = "unknown"
 #: Wording of licence notices by family (short public notices and their usual variants).
 TEMPLATES = {
@@ -25,6 +27,8 @@ TEMPLATES = {
         "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
         "SPDX-License-Identifier: Apache-2.0",
         "This project is released under the Apache 2.0 license.",
+        "Apache License 2.0",
+        "Apache License, Version 2.0",
     ],
     "mit": [
         "Released under the MIT License.",
@@ -32,6 +36,8 @@ TEMPLATES = {
         "SPDX-License-Identifier: MIT",
         "This software is distributed under the terms of the MIT license.",
         "Licensed under the MIT License.",
+        "MIT License",
+        "The MIT License",
     ],
     "gpl-3.0": [
         "This work is licensed under the GNU General Public License, version 3.",
@@ -39,41 +45,57 @@ TEMPLATES = {
         "SPDX-License-Identifier: GPL-3.0-or-later",
         "Released under the GNU GPL version 3.",
         "You should have received a copy of the GNU General Public License along with this program.",
+        "GNU General Public License v3.0",
+        "GNU General Public License, version 3",
+        "GNU GPL v3",
     ],
     "cc-by-nc-4.0": [
         "Licensed under CC BY-NC 4.0.",
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
         "SPDX-License-Identifier: CC-BY-NC-4.0",
+        "CC BY-NC 4.0",
+        "Creative Commons Attribution-NonCommercial 4.0",
     ],
     "cc-by-4.0": [
         "Licensed under CC BY 4.0.",
         "This work is licensed under a Creative Commons Attribution 4.0 International License.",
         "SPDX-License-Identifier: CC-BY-4.0",
+        "CC BY 4.0",
+        "Creative Commons Attribution 4.0",
     ],
     "cc-by-sa-4.0": [
         "Licensed under CC BY-SA 4.0.",
         "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
         "SPDX-License-Identifier: CC-BY-SA-4.0",
+        "CC BY-SA 4.0",
+        "Creative Commons Attribution-ShareAlike 4.0",
     ],
     "bsd-3-clause": [
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
         "Released under the 3-clause BSD License.",
         "Use of this source code is governed by a BSD-style license.",
         "SPDX-License-Identifier: BSD-3-Clause",
+        "BSD 3-Clause License",
+        "3-clause BSD License",
     ],
     "mpl-2.0": [
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
         "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
         "SPDX-License-Identifier: MPL-2.0",
+        "Mozilla Public License 2.0",
+        "Mozilla Public License, version 2.0",
     ],
     "cc0-1.0": [
         "To the extent possible under law, the author has dedicated all copyright and related and neighboring rights to this software to the public domain worldwide.",
         "Released under CC0 1.0 Universal.",
         "SPDX-License-Identifier: CC0-1.0",
+        "CC0 1.0 Universal",
     ],
     "proprietary": [
         "All rights reserved. No part of this publication may be reproduced without the prior written permission of the publisher.",
         "Proprietary and confidential. Unauthorized copying of this file is strictly prohibited.",
+        "All rights reserved.",
+        "Proprietary and confidential.",
     ],
 }
 #: Sentences that name licences or their words without granting one.
@@ -178,8 +200,9 @@ class Model:
         p /= p.sum()
         best = int(p.argmax())
         family = self.families[best]
-        share = max((len(g & k) / len(k) for k in (grams(words(t)) for t in TEMPLATES.get(family, []))), default=0.0)
-        return family if family != UNKNOWN and p[best] >= SURE and share >= CONFIRM else UNKNOWN, float(p[best]), share
+        found = [(share >= (1.0 if len(k) <= WHOLE else CONFIRM), share) for t in TEMPLATES.get(family, []) for k in [grams(words(t))] for share in [len(g & k) / len(k)]]
+        sure, share = max(found, default=(False, 0.0))
+        return family if family != UNKNOWN and p[best] >= SURE and sure else UNKNOWN, float(p[best]), share
 
 
 def fit(docs: DataFrame, each: int = NEGATIVES) -> Model:
@@ -197,7 +220,7 @@ def classify(docs: DataFrame, model: Model) -> DataFrame:
     Only SQL functions run here: lines are cut into words; those with a word that licences alone have are cut into
     n-grams; these are joined with the weights (broadcast, bounded by the templates) and added up. A family is found where its
     calibrated probability is SURE at least, no other's is higher, and one of its templates has a share of CONFIRM or
-    more of its n-grams in the paragraph.
+    more of its n-grams in the paragraph, all of them where it has WHOLE at most.
 
     Null or empty texts have no licences. Equal (id, text) rows get equal results, also null ids. Other columns pass; a
     column licences is replaced. An empty table gives no rows.
@@ -227,9 +250,10 @@ def classify(docs: DataFrame, model: Model) -> DataFrame:
     best = F.get(F.array(*map(F.lit, model.families)), (F.array_position(F.array(*scores), top) - 1).cast("int"))
     votes = votes.select(*(F.col(c).alias(f"v_{c}") for c in keys), best.alias("family"), (F.lit(1.0) / sum((F.exp(z - top) for z in scores), F.lit(0.0))).alias("probability"))
     votes = votes.where((F.col("family") != UNKNOWN) & (F.col("probability") >= SURE))
-    shares = each.join(forms, "gram").groupBy(*keys, "t_family", "template").agg((F.count("*") / F.first("n_grams")).alias("share"))
+    size = F.first("n_grams")
+    shares = each.join(forms, "gram").groupBy(*keys, "t_family", "template").agg((F.count("*") / size).alias("share"), F.when(size <= WHOLE, 1.0).otherwise(CONFIRM).alias("least"))
     same = F.col("doc_id").eqNullSafe(F.col("v_doc_id")) & (F.col("text_key") == F.col("v_text_key")) & (F.col("line_no") == F.col("v_line_no")) & (F.col("t_family") == F.col("family"))
-    sure = shares.join(votes, same).where(F.col("share") >= CONFIRM).groupBy(*keys).agg(F.max(F.struct("share", (-F.col("template")).alias("t"), "family", "probability")).alias("m"))
+    sure = shares.join(votes, same).where(F.col("share") >= F.col("least")).groupBy(*keys).agg(F.max(F.struct("share", (-F.col("template")).alias("t"), "family", "probability")).alias("m"))
     row = F.struct("line_no", F.col("m.family").alias("family"), F.col("m.probability").alias("probability"), (-F.col("m.t")).alias("template"), F.col("m.share").alias("share"))
     per = sure.groupBy(F.col("doc_id").alias("p_doc_id"), F.col("text_key").alias("p_key")).agg(F.array_sort(F.collect_list(row)).alias("licences"))
     base = docs.drop("licences").withColumn("_key", F.xxhash64("text"))

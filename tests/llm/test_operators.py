@@ -413,6 +413,17 @@ def test_licences(spark):
     assert got == want and got[(3, ((3, "mit"),))] == 2 and got[(None, ((0, "cc-by-nc-4.0"),))] == 1 and got[(70, ())] == 1
 
 
+def test_short_licence_notices_are_found(spark):
+    rng = random.Random(53)
+    notices = {"All rights reserved.": "proprietary", "MIT License": "mit", "The MIT License": "mit", "Apache License 2.0": "apache-2.0", "Apache License, Version 2.0": "apache-2.0", "GNU General Public License v3.0": "gpl-3.0", "BSD 3-Clause License": "bsd-3-clause", "Mozilla Public License 2.0": "mpl-2.0", "CC BY 4.0": "cc-by-4.0", "CC BY-NC 4.0": "cc-by-nc-4.0", "CC BY-SA 4.0": "cc-by-sa-4.0", "CC0 1.0 Universal": "cc0-1.0"}
+    none = ["All seats are reserved for guests.", "She got a license after her studies at MIT.", "The rights of all were reserved by the court."]
+    rows = [(i, "\n".join(prose(rng, 12) for _ in range(3)), None) for i in range(200)]
+    rows += [(1_000 + k, f"{prose(rng, 9)}\n{t}\n{prose(rng, 9)}", None) for k, t in enumerate([*notices, *none])]
+    df = docs(spark, rows)
+    got = {r.doc_id: [(x.line_no, x.family) for x in r.licences] for r in licenses.classify(df, licenses.fit(df)).collect() if r.licences}
+    assert got == {1_000 + k: [(1, f)] for k, f in enumerate(notices.values())}
+
+
 def test_revisits(spark):
     at = lambda m: F.timestamp_seconds(F.lit(m * 60))
     rows = [
