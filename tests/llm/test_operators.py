@@ -360,6 +360,28 @@ def test_rare_words_by_join_give_the_same(spark, corpus, monkeypatch):
     assert key(lm.score(df, model, bits, words).collect()) == one
 
 
+def test_language_model_beyond_the_filter_is_exact(spark, corpus, monkeypatch):
+    df = docs(spark, corpus)
+    monkeypatch.setattr(lm, "MOST_BITS", 1 << 10)
+    monkeypatch.setattr(lm, "HEAD", 20)
+    model, bits, words = lm.fit(df.where("doc_id % 3 <> 0"))
+    got = Counter((r.doc_id, round(r.score, 5)) for r in lm.score(df, model, bits, words).collect())
+    token = lambda t: [*re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate({i: i + 32 for i in range(65, 91)})), " "]
+    train = [token(t) for i, t, _ in corpus if i is not None and i % 3]
+    c, n = Counter(w for t in train for w in t), sum(map(len, train))
+    two = Counter(p for t in train for p in zip([" ", *t], t))  # noqa: B905
+
+    def score(t):
+        out = 0.0
+        for v, w in zip([" ", *t], t):  # noqa: B905
+            a = model.weights[int(min(np.log2(max(c[v], 0.5)) + 1, lm.CLASSES - 1))]
+            one = max(c[w] - model.cut, 0.25) / n if c[w] else max(model.cut * len(c), 0.5) / n
+            out += np.log10(a * min(two[v, w], c[v], c[w]) / max(c[v], 1) + (1 - a) * one)
+        return round(out, 5)
+
+    assert got == Counter((i, score(token(t))) for i, t, _ in corpus)
+
+
 def test_filter_has_no_false_negatives():
     rng = np.random.default_rng(31)
     keys, counts = rng.integers(0, 2**lm.KEY_BITS, 5_000, dtype=np.uint64), rng.geometric(0.2, 5_000)
