@@ -45,10 +45,16 @@ def all_pairs(unit: DataFrame, engine: str = "blocks", block: int = BLOCK) -> Da
         ei, ej = left.entity.to_numpy()[i], right.entity.to_numpy()[j]
         return pd.DataFrame({"i": np.minimum(ei, ej), "j": np.maximum(ei, ej), "s": list(s[i, j])})
 
-    order = lambda df: df.select("x", "y", "entity", "bands")
+    schema = f"i {kind}, j {kind}, s array<double>"
     if blocks == 1:  # x == y: one side is both
-        return order(a).groupBy("x", "y").applyInPandas(lambda key, pdf: product(key, pdf, pdf), f"i {kind}, j {kind}, s array<double>")
-    return order(a).groupBy("x", "y").cogroup(order(b).groupBy("x", "y")).applyInPandas(lambda key, p, q: product(key, p.sort_values("entity"), q.sort_values("entity")), f"i {kind}, j {kind}, s array<double>")
+        return a.select("x", "y", "entity", "bands").groupBy("x", "y").applyInPandas(lambda key, pdf: product(key, pdf, pdf), schema)
+    # Both sides come from one frame. Names of their own give the right side attributes of its own, which column pruning
+    # would otherwise take for the left's.
+    a = a.select("x", "y", "entity", "bands")
+    b = b.select(F.col("x").alias("bx"), F.col("y").alias("by"), F.col("entity").alias("b_entity"), F.col("bands").alias("b_bands"))
+    names = {"b_entity": "entity", "b_bands": "bands"}
+    both = a.groupBy("x", "y").cogroup(b.groupBy("bx", "by"))
+    return both.applyInPandas(lambda key, p, q: product(key, p.sort_values("entity"), q.rename(columns=names).sort_values("entity")), schema)
 
 
 def matrix_summary(sim: DataFrame, entities: int, band: int, diagonal: float = 0.0) -> DataFrame:

@@ -62,6 +62,10 @@ def test_pairs_by_blocks_and_sql_agree(spark):
         for block in (4, 100):
             got = {(r.i, r.j): r.s for r in SIM.all_pairs(df, engine, block).collect()}
             assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want), (engine, block)
+            # Columns that nothing asks for are pruned below the products of blocks.
+            pairs = SIM.all_pairs(df, engine, block)
+            assert pairs.count() == len(want) and pairs.select(F.get("s", F.lit(0)).alias("s")).where("s IS NOT NULL").count() == len(want)
+            assert {r.j for r in pairs.withColumn("t", F.lit(1)).select("j").collect()} == set(range(1, 9))
 
 
 def test_ranked_bands_are_spearman(spark):
