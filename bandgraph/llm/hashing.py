@@ -50,12 +50,13 @@ def hashed(strings: pa.Array) -> np.ndarray:
     return out
 
 
-def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def hashed_words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hashes, place, sizes): distinct word hashes, each word's place among them, and words of each text.
 
-    Words lie between x20 and x09 to x0D, with A-Z as a-z. A null text has none.
+    Words lie between x20 and x09 to x0D; lower: with A-Z as a-z. A null text has none.
     """
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "").cast(pa.string())))
+    texts = pc.fill_null(texts, "").cast(pa.string())
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
     sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
     coded = lists.flatten().dictionary_encode()
     place, hashes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), hashed(coded.dictionary)

@@ -285,9 +285,9 @@ def test_fingerprints(spark, corpus):
     new = [cws.edited(a, b) for a, b in zip(text, after, strict=True)]
     assert out.edited_sha256.tolist() == [hashlib.sha256(e.encode()).hexdigest() for e in new]
     s = cws.Sampler()
-    assert out.fingerprint.tolist() == [cws.fingerprint_text(s.samples(t)) for t in text]
-    assert out.edited_fingerprint.tolist() == [cws.fingerprint_text(s.samples(t)) for t in new]
-    assert out.near_next.tolist() == [cws.likeness(s.samples(a), s.samples(b)) for a, b in zip(text, after, strict=True)]
+    assert out.fingerprint.tolist() == [cws.fingerprint_text(s.samples(h)) for h in cws.hashed_texts(text)]
+    assert out.edited_fingerprint.tolist() == [cws.fingerprint_text(s.samples(h)) for h in cws.hashed_texts(new)]
+    assert out.near_next.tolist() == [cws.likeness(s.samples(a), s.samples(b)) for a, b in zip(cws.hashed_texts(text), cws.hashed_texts(after), strict=True)]
     again = cws.fingerprint(docs(spark, rows)).select("doc_id", "fingerprint", cws.similarity(F.col("fingerprint"), F.col("fingerprint")).alias("same"))
     assert all(r.same == 1.0 for r in again.collect())
     assert cws.edit_chain(docs(spark, rows).where("doc_id < 0")).count() == 0
@@ -295,16 +295,45 @@ def test_fingerprints(spark, corpus):
     assert one.near_next == 1.0
 
 
+def test_samples_are_the_least_over_every_term():
+    """The sampler's definition, a term and a sample at a time, for texts of few, many, once and often used words."""
+    s, rng = cws.Sampler(), random.Random(53)
+    texts = ["one", "a a a a", prose(rng, 40), " ".join([prose(rng, 3)] * 9), " ".join(f"w{i}" for i in range(3_000)) + " w1" * 50]
+    for h in cws.hashed_texts(texts):
+        x, count = s.terms(h)
+        assert Counter(dict(zip(x.tolist(), count.tolist(), strict=True))).total() == 2 * len(h) - 1
+        bits, some = s.hashes(x), range(0, cws.SAMPLES, 1 if len(x) < 100 else 16)
+        a, term, code = s.least(x, count)
+        for k in some:
+            best = (np.inf, 0, 0)
+            for g, e, n in zip(bits[k].tolist(), x.tolist(), count.tolist(), strict=True):
+                at, low = g >> 16, g & 0xFFFF
+                t = np.floor(np.float32(0.5 * np.log(n)) / s.r[at] + s.beta[at])
+                best = min(best, (s.one[at] + s.step[at] * low - s.r[at] * t, e, (e + int(t) * 0xA24BAED4963EE407) % 2**64))
+            assert (term[k], code[k]) == best[1:] and abs(a[k] - best[0]) < 1e-5
+
+
+def test_long_text_null_ids_and_repeats_of_fingerprints(spark):
+    rng = random.Random(59)
+    rows = [(1, prose(rng, 60_000), None), (None, "no id", None), (None, "no id", None), (2, None, None), (2, "b", None), (2, "b", None), (3, "", None)]
+    out = cws.edit_chain(docs(spark, rows, True), 3).collect()
+    assert len(out) == len(rows) and sum(r.doc_id is None for r in out) == 2
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    text = [t or "" for _, t, _ in order]
+    want = Counter((i, len(t), hashlib.sha256(cws.edited(t, n).encode()).hexdigest()) for (i, _, _), t, n in zip(order, text, text[1:] + text[:1], strict=True))
+    assert Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in out) == want
+
+
 def test_collision_rate_is_generalised_jaccard():
     rng, s, err = random.Random(19), cws.Sampler(), []
     for _ in range(150):
         a = [rng.choice(WORDS) for _ in range(120)]
         b = a[: rng.randint(10, 110)] + [rng.choice(WORDS) for _ in range(40)]
-        ta, tb = (dict(zip(*s.terms(" ".join(x)), strict=True)) for x in (a, b))
+        ta, tb = (dict(zip(*s.terms(h), strict=True)) for h in cws.hashed_texts([" ".join(a), " ".join(b)]))
         keys = set(ta) | set(tb)
         w = lambda t, k: t.get(k, 0) ** 0.5
         want = sum(min(w(ta, k), w(tb, k)) for k in keys) / sum(max(w(ta, k), w(tb, k)) for k in keys)
-        err.append(cws.likeness(s.samples(" ".join(a)), s.samples(" ".join(b))) - want)
+        err.append(cws.likeness(*map(s.samples, cws.hashed_texts([" ".join(a), " ".join(b)]))) - want)
     assert abs(np.mean(err)) < 0.02 and np.std(err) < 0.08
 
 
