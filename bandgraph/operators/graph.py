@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from bandgraph.session import cut
+from bandgraph.session import Scratch, cut
 
 
 def components(links: DataFrame, a: str = "i", b: str = "j") -> DataFrame:
@@ -14,17 +14,19 @@ def components(links: DataFrame, a: str = "i", b: str = "j") -> DataFrame:
     a hub is hot, and every round is cut in the shared folder, so neither lineage nor a driver list grows.
     """
     pairs = links.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b")
-    edges = cut(pairs.union(pairs.select("b", "a")).distinct())
-    labels = cut(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("comp")))
-    while True:
-        near = edges.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("comp").alias("m"))
-        step = labels.join(near, F.col("node") == F.col("a")).select("node", F.col("comp").alias("old"), F.least("comp", "m").alias("comp"))
-        up = labels.select(F.col("node").alias("comp"), F.col("comp").alias("top"))
-        step = cut(step.join(up, "comp").select("node", "old", F.least("comp", "top").alias("comp")))
-        changed = not step.where("comp <> old").isEmpty()
-        labels = step.select("node", "comp")
-        if not changed:
-            return labels
+    with Scratch(links.sparkSession) as scratch:
+        edges = cut(pairs.union(pairs.select("b", "a")).distinct())
+        labels = cut(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("comp")))
+        while True:
+            near = edges.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("comp").alias("m"))
+            step = labels.join(near, F.col("node") == F.col("a")).select("node", F.col("comp").alias("old"), F.least("comp", "m").alias("comp"))
+            up = labels.select(F.col("node").alias("comp"), F.col("comp").alias("top"))
+            step = cut(step.join(up, "comp").select("node", "old", F.least("comp", "top").alias("comp")))
+            scratch.free(labels)
+            if step.where("comp <> old").isEmpty():
+                return scratch.keep(step).select("node", "comp")
+            labels = step.select("node", "comp")
+            labels._cut = step._cut
 
 
 def assigned(labels: DataFrame, entities: DataFrame) -> DataFrame:
