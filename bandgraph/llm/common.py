@@ -21,43 +21,57 @@ def fold(doc_id: Column, n: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % n, F.lit(1))
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, comp): comp is the smallest node reachable over links; nodes without a link are left out.
+def own_names(df: DataFrame, *names: str) -> list[str]:
+    """names, each with as many underscores before it as it takes to be no column of df (names count in lower case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
-    Min-label propagation with pointer jumping: minima are combined before each shuffle, joins are split by AQE where
-    a hub is hot, and every round is cut in the shared folder, so neither lineage nor a driver list grows.
-    """
-    pairs = links.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b")
-    edges = cut(pairs.union(pairs.select("b", "a")).distinct())
-    labels = cut(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("comp")))
-    while True:
-        near = edges.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("comp").alias("m"))
-        step = labels.join(near, F.col("node") == F.col("a")).select("node", F.col("comp").alias("old"), F.least("comp", "m").alias("comp"))
-        up = labels.select(F.col("node").alias("comp"), F.col("comp").alias("top"))
-        step = cut(step.join(up, "comp").select("node", "old", F.least("comp", "top").alias("comp")))
-        changed = not step.where("comp <> old").isEmpty()
-        labels = step.select("node", "comp")
-        if not changed:
-            return labels
+
+def quoted(name: str) -> Column:
+    """The column of just this name, which may have dots or backticks."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def without(df: DataFrame, *names: str) -> list[str]:
+    """df's columns but those of the names, in lower case or not."""
+    gone = {n.lower() for n in names}
+    return [c for c in df.columns if c.lower() not in gone]
+
+
+#: Keys with about this many marks or more are hot; one mark in SAMPLE is looked at to find them. Hot keys up to this many
+#: are broadcast, which is some tens of megabytes.
+HOT, SAMPLE, MOST_HOT = 2_048, 64, 1_000_000
 
 
-#: Keys with about this many members or more are hot; one member in SAMPLE is looked at to find them.
-HOT, SAMPLE = 2_048, 64
+def sampled(rows: DataFrame) -> DataFrame:
+    """One row in SAMPLE, whatever it holds, to estimate how often keys occur."""
+    return rows.where(F.rand(7) < 1.0 / SAMPLE)
 
 
-def meetings(marks: DataFrame, key: str, member: str) -> DataFrame:
+def meetings(marks: DataFrame, some: DataFrame, key: str, member: str) -> DataFrame:
     """(key, member, head) of marks (key, member), for keys that several members have; head is the least of them.
 
-    Marks are dealt out by key once, for the sums and for the join with them. Hot keys, found in a sample of the members,
-    go another way: their few heads are summed before the shuffle and broadcast, so that no task gathers a hot key.
+    Marks are dealt out by key once, for the sums and for the join with them. Hot keys, found in the sample `some` of the
+    marks, go another way: their few heads are summed before the shuffle and broadcast, so that no task gathers a hot key.
+    Hot keys that are too many for that are left to the splitting of skewed joins, with sums before the shuffle all the same.
     """
-    picked = marks.where(F.pmod(F.xxhash64(member), F.lit(SAMPLE)) == 0)
-    # At most one hot key for each HOT marks or so, of 8 bytes.
-    hot = F.broadcast(cut(picked.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") >= HOT // SAMPLE).select(key)))
+    hot = cut(some.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") >= HOT // SAMPLE).select(key))
+    n = hot.count()
     ends = lambda m: m.groupBy(key).agg(F.min(member).alias("head"), F.max(member).alias("tail")).where("head <> tail").select(key, "head")
-    cold = marks.join(hot, key, "left_anti").repartition(int(marks.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
-    warm = marks.join(hot, key, "left_semi")
-    return cold.join(ends(cold).hint("shuffle_hash"), key).union(warm.join(F.broadcast(ends(warm)), key))
+    if n > MOST_HOT:
+        return marks.join(ends(marks), key)
+    cold = marks.join(F.broadcast(hot), key, "left_anti") if n else marks
+    cold = cold.repartition(int(marks.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+    cold = cold.join(ends(cold).hint("shuffle_hash"), key)
+    if not n:
+        return cold
+    warm = marks.join(F.broadcast(hot), key, "left_semi")
+    return cold.union(warm.join(F.broadcast(ends(warm)), key))
 
 
 def split_keys(members: DataFrame, key: str, member: str, comp: DataFrame, chunk: int = 512) -> tuple[DataFrame, DataFrame]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from bandgraph.llm.common import lower_ascii
+from bandgraph.llm.common import lower_ascii, own_names, quoted, without
 from bandgraph.session import cut, table
 
 WIDTH = 10
@@ -89,12 +89,13 @@ def decontaminate(docs: DataFrame, bench: DataFrame, width: int = WIDTH) -> Data
     hits = spans.withColumn("covered", covered).groupBy(*keys).agg(F.sum("covered").alias("n_hit"))
     items = occ.select(*keys, F.explode("items").alias("item")).distinct().groupBy(*keys).agg(F.array_sort(F.collect_list(F.col("item").cast("string"))).alias("items"))
     found = hits.join(items.select(*(F.col(k).alias(f"i_{k}") for k in keys), "items"), F.col("doc_id").eqNullSafe(F.col("i_doc_id")) & (F.col("text_key") == F.col("i_text_key")), "left")
-    found = found.select(F.col("doc_id").alias("f_doc_id"), F.col("text_key").alias("f_text_key"), "n_hit", "items")
+    k, f_id, f_key, f_hit, f_items = own_names(docs, "key", "f_doc_id", "f_key", "f_hit", "f_items")
+    found = found.select(F.col("doc_id").alias(f_id), F.col("text_key").alias(f_key), F.col("n_hit").alias(f_hit), F.col("items").alias(f_items))
+    out = docs.withColumn(k, F.xxhash64("text")).join(found, F.col("doc_id").eqNullSafe(F.col(f_id)) & (F.col(k) == F.col(f_key)), "left")
     n = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint")
-    base = docs.drop("n_words", "n_hit", "items", "contaminated").withColumn("n_words", n).withColumn("_key", F.xxhash64("text"))
-    out = base.join(found, F.col("doc_id").eqNullSafe(F.col("f_doc_id")) & (F.col("_key") == F.col("f_text_key")), "left").drop("_key", "f_doc_id", "f_text_key")
-    hit = F.coalesce("n_hit", F.lit(0)).cast("bigint")
-    return out.withColumn("n_hit", hit).withColumn("items", F.coalesce("items", F.array().cast("array<string>"))).withColumn("contaminated", F.col("n_hit") > 0)
+    hit = F.coalesce(f_hit, F.lit(0)).cast("bigint")
+    kept = map(quoted, without(docs, "n_words", "n_hit", "items", "contaminated"))
+    return out.select(*kept, n.alias("n_words"), hit.alias("n_hit"), F.coalesce(f_items, F.array().cast("array<string>")).alias("items"), (hit > 0).alias("contaminated"))
 
 
 def op5_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:

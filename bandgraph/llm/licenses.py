@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
+from bandgraph.llm.common import own_names, quoted, without
 from bandgraph.session import cut, table
 
 #: Paragraphs of the corpus that the model learns as no licence, at most about.
@@ -255,11 +256,11 @@ def classify(docs: DataFrame, model: Model) -> DataFrame:
     same = F.col("doc_id").eqNullSafe(F.col("v_doc_id")) & (F.col("text_key") == F.col("v_text_key")) & (F.col("line_no") == F.col("v_line_no")) & (F.col("t_family") == F.col("family"))
     sure = shares.join(votes, same).where(F.col("share") >= F.col("least")).groupBy(*keys).agg(F.max(F.struct("share", (-F.col("template")).alias("t"), "family", "probability")).alias("m"))
     row = F.struct("line_no", F.col("m.family").alias("family"), F.col("m.probability").alias("probability"), (-F.col("m.t")).alias("template"), F.col("m.share").alias("share"))
-    per = sure.groupBy(F.col("doc_id").alias("p_doc_id"), F.col("text_key").alias("p_key")).agg(F.array_sort(F.collect_list(row)).alias("licences"))
-    base = docs.drop("licences").withColumn("_key", F.xxhash64("text"))
-    out = base.join(per, F.col("doc_id").eqNullSafe(F.col("p_doc_id")) & (F.col("_key") == F.col("p_key")), "left")
-    none = F.array().cast(per.schema["licences"].dataType)
-    return out.withColumn("licences", F.coalesce("licences", none)).drop("_key", "p_doc_id", "p_key")
+    key, p_id, p_key, p_found = own_names(docs, "key", "p_doc_id", "p_key", "p_found")
+    per = sure.groupBy(F.col("doc_id").alias(p_id), F.col("text_key").alias(p_key)).agg(F.array_sort(F.collect_list(row)).alias(p_found))
+    out = docs.withColumn(key, F.xxhash64("text")).join(per, F.col("doc_id").eqNullSafe(F.col(p_id)) & (F.col(key) == F.col(p_key)), "left")
+    none = F.array().cast(per.schema[p_found].dataType)
+    return out.select(*map(quoted, without(docs, "licences")), F.coalesce(p_found, none).alias("licences"))
 
 
 def op10_license_scan(spark, sf_dir: str) -> DataFrame:

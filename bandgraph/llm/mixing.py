@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from bandgraph.llm.common import SPACED_WORD
+from bandgraph.llm.common import SPACED_WORD, own_names, quoted, without
 from bandgraph.session import cut, table
 
 WEIGHTS, BUDGET_SHARE, MAX_EPOCHS, SEED = (5, 2, 1), 1.5, 2, "mix-1"
@@ -48,12 +48,12 @@ def mix(docs: DataFrame, size: Column, weights=WEIGHTS, share: float = BUDGET_SH
     copies 0. Repeated rows are rows of their own: a count says how often (id, source, size) occurs, ties are taken
     together. Clashing column names: the columns added here replace columns of the same name. Empty table: no rows.
     """
-    added = ("size", "source_size", "target", "copies", "taken")
-    base = docs.drop(*(c for c in added)).withColumn("size", F.coalesce(size, F.lit(0)).cast("bigint"))
-    slim = base.select("doc_id", "source", "size")
+    words_, t_source, t_size, t_target, g_id, g_source, g_size, g_copies = own_names(docs, "words", "t_source", "t_size", "t_target", "g_doc_id", "g_source", "g_size", "g_copies")
+    base = docs.withColumn(words_, F.coalesce(size, F.lit(0)).cast("bigint"))
+    slim = base.select("doc_id", "source", F.col(words_).alias("size"))
     aim = cut(targets(slim, weights, share, epochs))
-    same = F.col("source").eqNullSafe(F.col("t_source"))
     t = aim.select(F.col("source").alias("t_source"), "source_size", "target")
+    same = F.col("source").eqNullSafe(F.col("t_source"))
     # Distinct (id, source, size), with how often each occurs.
     rows = slim.where("size > 0").groupBy("doc_id", "source", "size").agg(F.count("*").alias("times"))
     rows = rows.withColumn("u", F.md5(F.concat_ws("-", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
@@ -86,11 +86,13 @@ def mix(docs: DataFrame, size: Column, weights=WEIGHTS, share: float = BUDGET_SH
     edge = edge.join(parts, "part").withColumn("run", running + F.col("pb")).where("run <= room")
     keys = ("doc_id", "source", "size")
     got = full.select(*keys).union(edge.select(*keys)).groupBy(*keys).agg(F.count("*").alias("copies"))
-    g = got.select(*(F.col(k).alias(f"g_{k}") for k in keys), "copies")
-    out = base.join(g, F.col("doc_id").eqNullSafe(F.col("g_doc_id")) & F.col("source").eqNullSafe(F.col("g_source")) & (F.col("size") == F.col("g_size")), "left")
-    out = out.join(t, same, "left")
-    copies = F.coalesce("copies", F.lit(0)).cast("bigint")
-    return out.withColumn("copies", copies).withColumn("taken", F.col("size") * F.col("copies")).select(*base.columns, "source_size", "target", "copies", "taken")
+    got = got.select(F.col("doc_id").alias(g_id), F.col("source").alias(g_source), F.col("size").alias(g_size), F.col("copies").alias(g_copies))
+    aim = aim.select(F.col("source").alias(t_source), F.col("source_size").alias(t_size), F.col("target").alias(t_target))
+    out = base.join(got, F.col("doc_id").eqNullSafe(F.col(g_id)) & F.col("source").eqNullSafe(F.col(g_source)) & (F.col(words_) == F.col(g_size)), "left")
+    out = out.join(aim, F.col("source").eqNullSafe(F.col(t_source)), "left")
+    copies = F.coalesce(g_copies, F.lit(0)).cast("bigint")
+    kept = map(quoted, without(docs, "size", "source_size", "target", "copies", "taken"))
+    return out.select(*kept, F.col(words_).alias("size"), F.col(t_size).alias("source_size"), F.col(t_target).alias("target"), copies.alias("copies"), (F.col(words_) * copies).alias("taken"))
 
 
 def word_count(text: Column) -> Column:

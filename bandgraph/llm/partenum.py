@@ -11,9 +11,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from bandgraph.llm.common import components, meetings, split_keys
+from bandgraph.llm.common import meetings, sampled, split_keys
 from bandgraph.llm.hashing import MULT, hashed_words, mixed, pieces
-from bandgraph.session import cut, table
+from bandgraph.operators.graph import components
+from bandgraph.session import Scratch, cut, table
 
 #: Words of a shingle, and the least similarity in percent: two sets link when 100 * common >= PERCENT * union.
 SHINGLE, PERCENT = 4, 85
@@ -21,8 +22,6 @@ SHINGLE, PERCENT = 4, 85
 PARTS, DIFFER = 2, 1
 #: Parts are this much more than differences, so that parts with elements alone are more than differences.
 SPARE = 1.1
-#: Sets that would have more signatures have this many, of parts with WIDE elements each on average.
-MOST, WIDE = 128, 8
 #: Ratio of a size band's ends. Narrow bands allow few differences but put more sets in two families; 1.6 gives least signatures.
 BAND = 1.6
 #: Bits of a set's parity sketch.
@@ -96,22 +95,12 @@ def signatures(x: np.ndarray, bands: Bands) -> np.ndarray:
     PARTS - DIFFER of its second-level parts is equal in both sets. Each subset gives the hash of the family, the subset and
     its elements. Subsets without elements are left out if the set has more than k others: at most k of those can differ,
     so an equal one is left; a set with fewer gives all.
-
-    Of sets with k >= MOST, whose signatures would be as many as their differences, only the first MOST parts of a coarser
-    cut give one each. A part is equal with probability 0.27 or more for linked sets (WIDE elements, of which 0.162 in
-    the mean differ at the least similarity), so two linked sets share none with probability under 1e-17.
     """
     out = []
     for family in bands.families(len(x)):
         k = bands.budget(family)
         h = (x * np.uint64(0x94D049BB133111EB)) >> np.uint64(33)
         seed = np.uint64((family * 131 + 1) * 0xA24BAED4963EE407 % 2**64)
-        if k >= MOST:
-            place = (h % np.uint64(bands.top(family) // WIDE)).astype(np.int64)
-            few = place < MOST
-            sums, full = _sums(place[few], x[few], MOST)
-            out.append(_mark(seed, np.arange(MOST, dtype=np.uint64), [sums])[full])
-            continue
         n1 = int(np.ceil(SPARE * (k + 1) / (DIFFER + 1))) if k else 1
         keep = PARTS - DIFFER if k else PARTS
         sums, full = (v.reshape(n1, PARTS) for v in _sums((h % np.uint64(n1 * PARTS)).astype(np.int64), x, n1 * PARTS))
@@ -273,8 +262,7 @@ def _texts(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row of docs (doc_id, text); exact but for hash collisions and odds of
-    1e-17 (see signatures).
+    """(doc_id, n_shingles, component_id) for each row of docs (doc_id, text); exact but for collisions of 64-bit hashes.
 
     Equal sets are one class, which one representative (the least doc_id) stands for. Representatives that share a
     signature are candidates. First each is verified against the least set of its signatures: this joins large groups of
@@ -284,37 +272,48 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
     of the nearest. So no link between components is lost, and pairs within one are never all made.
 
     Null or wordless texts have n_shingles 0 and are their own component. A null id isn't linked with anything and has a
-    null component. Rows of equal id are one document, with the least of their texts. An empty table gives no rows.
+    null component. Rows of equal id are one document, with the least of their texts. An empty table gives no rows. Texts
+    are taken whole, whatever their length. Other columns of docs aren't looked at.
     """
     docs = docs.select("doc_id", "text")
-    found = cut(profiles(docs, size, percent))
-    one = F.min(F.struct("doc_id", F.col("n_shingles").alias("n"), "sketch")).alias("m")
-    classes = found.where("set_id IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_id").agg(one)
-    classes = cut(classes.select("set_id", F.col("m.doc_id").alias("rep"), "m.n", "m.sketch"))
-    members = cut(meetings(found.select(F.explode("sigs").alias("sig"), "set_id"), "sig", "set_id").distinct())
-    side = lambda k: classes.select(F.col("set_id").alias(k), F.struct("n", "sketch").alias(f"p{k}"))
-    star = members.where("set_id <> head").groupBy(F.col("set_id").alias("b")).agg(F.min("head").alias("a"))
-    star = cut(star.join(side("a"), "a").join(side("b"), "b").where(_may_link("pa", "pb", percent)).select("a", "b"))
-    links = cut(_verified(star, _texts(star, docs, classes), size, percent))
-    # A part of the signatures joins most of what is close; then all are looked at, for what is left.
-    some, limit = members.where(F.pmod(F.xxhash64("sig"), F.lit(FIRST)) == 0), 1
-    while True:
-        x, y = split_keys(some.select("sig", "set_id"), "sig", "set_id", components(links))
-        rows = x.select("sig", "i", "j", F.lit(0).alias("side"), F.col("x").alias("set_id"), F.col("xc").alias("comp"))
-        rows = rows.union(y.select("sig", "i", "j", F.lit(1), "y", "yc")).join(classes.select("set_id", "n", "sketch"), "set_id")
-        rows = rows.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j", "side").select("sig", "i", "j", "side", "set_id", "comp", "n", "sketch")
-        cross = cut(_nearest(rows, limit, percent))
-        links = cut(links.union(_verified(cross.select("a", "b"), _texts(cross, docs, classes), size, percent)))
-        if some is members:
-            if cross.where("more").isEmpty():
-                break
-            limit *= 8
-        some = members
-    rep = lambda k: classes.select(F.col("set_id").alias(k), F.col("rep").alias(f"r{k}"))
-    comp = components(links.join(rep("a"), "a").join(rep("b"), "b"), "ra", "rb")
-    ids = classes.select("set_id", "rep").join(comp, F.col("rep") == F.col("node"), "left").select("set_id", F.coalesce("comp", "rep").alias("component"))
-    out = found.join(ids, "set_id", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+    with Scratch(docs.sparkSession) as scratch:
+        found = cut(profiles(docs, size, percent))
+        rows = scratch.keep(cut(found.select("doc_id", "n_shingles", "set_id")))
+        one = F.min(F.struct("doc_id", F.col("n_shingles").alias("n"), "sketch")).alias("m")
+        classes = found.where("set_id IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_id").agg(one)
+        classes = cut(classes.select("set_id", F.col("m.doc_id").alias("rep"), "m.n", "m.sketch"))
+        marks = lambda df: df.select(F.explode("sigs").alias("sig"), "set_id")
+        members = cut(meetings(marks(found), marks(sampled(found)), "sig", "set_id").distinct())
+        scratch.free(found)
+        side = lambda k: classes.select(F.col("set_id").alias(k), F.struct("n", "sketch").alias(f"p{k}"))
+        star = members.where("set_id <> head").groupBy(F.col("set_id").alias("b")).agg(F.min("head").alias("a"))
+        star = cut(star.join(side("a"), "a").join(side("b"), "b").where(_may_link("pa", "pb", percent)).select("a", "b"))
+        links = cut(_verified(star, _texts(star, docs, classes), size, percent))
+        # A part of the signatures joins most of what is close; then all are looked at, for what is left.
+        some, limit = members.where(F.pmod(F.xxhash64("sig"), F.lit(FIRST)) == 0), 1
+        while True:
+            with Scratch(docs.sparkSession) as round_:
+                x, y = split_keys(some.select("sig", "set_id"), "sig", "set_id", components(links, "a", "b"))
+                near = x.select("sig", "i", "j", F.lit(0).alias("side"), F.col("x").alias("set_id"), F.col("xc").alias("comp"))
+                near = near.union(y.select("sig", "i", "j", F.lit(1), "y", "yc")).join(classes.select("set_id", "n", "sketch"), "set_id")
+                near = near.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j", "side").select("sig", "i", "j", "side", "set_id", "comp", "n", "sketch")
+                cross = cut(_nearest(near, limit, percent))
+                more = not cross.where("more").isEmpty()
+                before, links = links, round_.keep(cut(links.union(_verified(cross.select("a", "b"), _texts(cross, docs, classes), size, percent))))
+            scratch.free(before)
+            if some is members:
+                if not more:
+                    break
+                limit *= 8
+            some = members
+        rep = lambda k: classes.select(F.col("set_id").alias(k), F.col("rep").alias(f"r{k}"))
+        comp = components(links.join(rep("a"), "a").join(rep("b"), "b"), "ra", "rb")
+        ids = classes.select("set_id", "rep").join(comp, F.col("rep") == F.col("node"), "left")
+        ids = scratch.keep(cut(ids.select("set_id", F.coalesce("comp", "rep").alias("component"))))
+    # Rows without words or an id need no partner, and so no task that gets all of them.
+    alone = F.col("set_id").isNull() | F.col("doc_id").isNull()
+    linked_ = rows.where(~alone).join(ids, "set_id").select("doc_id", "n_shingles", F.col("component").alias("component_id"))
+    return linked_.union(rows.where(alone).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
 def op4_ngram_jaccard(spark, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from bandgraph.llm.common import own_names, quoted
 from bandgraph.session import cut, table
 
 #: Headers of a 304 response that replace those of the stored response (RFC 9110 15.4.5, RFC 9111 3.2).
@@ -64,29 +65,37 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
 
     A null date, URL or record_id matches nothing: 'missing'. Repeated revisits get equal rows each; repeated record_ids of
     responses count as one, with the greatest digest. Header names are compared in lower case. An empty table gives no rows.
+    Columns of records of the added names are replaced; columns id and headers of a response have no source_ copy.
     """
-    extra = [c for c in records.columns if c not in ("record_id", "url", "date", "kind", "status", "headers")]
-    all_ = records.withColumn("canonical_url", canonical(F.col("url"))).withColumn("headers", lower_names(F.col("headers")))
+    extra = [c for c in records.columns if c.lower() not in ("record_id", "url", "date", "kind", "status", "headers")]
+    copied = {f"source_{c}": c for c in extra if c.lower() not in ("id", "headers")}
+    added = {n.lower() for n in ("canonical_url", "result", "source_id", "merged_headers", *copied)}
+    url, r_url, r_at, r_id, rid, r = own_names(records, "c_url", "r_url", "r_at", "r_id", "rid", "r")
+    all_ = records.withColumn(url, canonical(F.col("url"))).withColumn("headers", lower_names(F.col("headers")))
     full = all_.where((F.col("kind") == "response") & (F.col("status") == 200) & F.col("record_id").isNotNull())
-    revisits = all_.where("kind = 'revisit'")
-    keyed = lambda df, rid: df.where("canonical_url IS NOT NULL AND date IS NOT NULL").select(F.col("canonical_url").alias("curl"), "date", rid.cast("string").alias("rid"))
+    revisits = all_.where(F.col("kind") == "revisit")
+    keyed = lambda df, rid: df.where(F.col(url).isNotNull() & F.col("date").isNotNull()).select(F.col(url).alias("curl"), "date", rid.cast("string").alias("rid"))
     found = _sources(keyed(full, F.col("record_id")).union(keyed(revisits, F.lit(None))))
-    found = found.where("source IS NOT NULL").select("curl", F.col("date").alias("at"), "source")
-    out = revisits.join(found, (F.col("canonical_url") == F.col("curl")) & (F.col("date") == F.col("at")), "left").drop("curl", "at")
-    response = full.groupBy(F.col("record_id").cast("string").alias("rid")).agg(F.max_by(F.struct(F.col("headers").alias("source_headers"), *(F.col(c).alias(f"source_{c}") for c in extra)), F.coalesce("digest", F.lit(""))).alias("r")).select("rid", "r.*")
+    found = found.where("source IS NOT NULL").select(F.col("curl").alias(r_url), F.col("date").alias(r_at), F.col("source").alias(r_id))
+    out = revisits.join(found, (F.col(url) == F.col(r_url)) & (F.col("date") == F.col(r_at)), "left")
+    whole = F.struct(F.col("headers").alias("headers"), *(quoted(c).alias(f"c{i}") for i, c in enumerate(copied.values())))
+    response = full.groupBy(F.col("record_id").cast("string").alias(rid)).agg(F.max_by(whole, F.coalesce("digest", F.lit(""))).alias(r))
     # Revisits without a source have keys of their own, or one task would get them all.
-    key = F.coalesce("source", F.concat(F.lit("\0"), F.coalesce(F.col("record_id").cast("string"), F.xxhash64("url", "date").cast("string"))))
-    out = out.join(response, key == F.col("rid"), "left").drop("rid")
+    key = F.coalesce(r_id, F.concat(F.lit("\0"), F.coalesce(F.col("record_id").cast("string"), F.xxhash64("url", "date").cast("string"))))
+    out = out.join(response, key == F.col(rid), "left")
+    theirs = lambda c: F.col(r)[c]
     tag = lambda h: F.regexp_replace(F.trim(F.element_at(h, "etag")), "^W/", "")
     modified = lambda h: F.trim(F.element_at(h, "last-modified"))
     same = lambda f, g: F.when(f.isNotNull() & g.isNotNull(), f == g)
-    equal = F.coalesce(same(tag("headers"), tag("source_headers")), same(modified("headers"), modified("source_headers")), same(F.col("digest"), F.col("source_digest")))
-    result = F.when(F.col("source").isNull(), "missing").when(equal.isNull(), "unverified").when(equal, "resolved").otherwise("changed")
+    digest = theirs(f"c{list(copied.values()).index('digest')}")
+    equal = F.coalesce(same(tag(F.col("headers")), tag(theirs("headers"))), same(modified(F.col("headers")), modified(theirs("headers"))), same(F.col("digest"), digest))
+    result = F.when(F.col(r_id).isNull(), "missing").when(equal.isNull(), "unverified").when(equal, "resolved").otherwise("changed")
     fresh = F.map_filter("headers", lambda k, _: k.isin(*PERMITTED))
-    merged = F.map_concat(F.map_filter("source_headers", lambda k, _: ~F.array_contains(F.map_keys(fresh), k)), fresh)
-    out = out.withColumn("result", result)
+    merged = F.map_concat(F.map_filter(theirs("headers"), lambda k, _: ~F.array_contains(F.map_keys(fresh), k)), fresh)
+    own = [quoted(c) for c in records.columns if c.lower() not in added]
+    done = out.select(*own, F.col(url).alias("canonical_url"), result.alias("result"), *(theirs(f"c{i}").alias(n) for i, n in enumerate(copied)), F.col(r_id).alias(rid), merged.alias(r))
     ok = F.col("result") == "resolved"
-    return out.withColumn("merged_headers", F.when(ok, merged)).withColumn("source_id", F.when(ok, F.col("source"))).drop("source", "source_headers")
+    return done.withColumn("merged_headers", F.when(ok, F.col(r))).withColumn("source_id", F.when(ok, F.col(rid))).drop(r, rid)
 
 
 def capture_log(pages: DataFrame) -> DataFrame:
