@@ -16,27 +16,27 @@ from bandgraph.session import table
 
 #: Documents of each language that the model is fitted on, at most about; each gives a run of this many words.
 TRAIN_EACH, TRAIN_WORDS = 700, 200
-#: Hashed feature weights for each language; letters of a word that features see (the first and last halves of it).
+#: Hashed feature weights for each language; letters of a word at most: a longer run of letters is several words.
 SIZE, LETTERS = 1 << 17, 24
 #: A chain is a run of at most so many words; longer texts are several chains.
 CHAIN = 512
 #: Words of a chain that may be in another language than their document, as the fit assumes.
 SWITCH = 0.1
 UNDETERMINED = "und"
-WORD = re.compile(r"[^\W\d_]+")
+#: Signs of numbers that \w has and \d hasn't, such as fractions and Roman numerals; they are no letters.
+NUMERALS = "".join(c for c in map(chr, range(0x20000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+WORD = re.compile(rf"[^\W\d_{NUMERALS}]{{1,{LETTERS}}}")
 #: Words scored at once, which bounds a worker's memory whatever the batch is.
 BLOCK = 100_000
 
 
 def features(words: list[str]) -> np.ndarray:
     """Hashed features of lower-case words, [n, k]: the word itself (lexicon), affixes of 1 to 4 and n-grams of 1 to 3 letters; 0 is none."""
-    half = LETTERS // 2
-    cut_ = [w if len(w) <= LETTERS else w[:half] + w[-half:] for w in words]
-    n = len(cut_)
-    size = np.fromiter(map(len, cut_), np.int64, n)
+    n = len(words)
+    size = np.fromiter(map(len, words), np.int64, n)
     c = np.zeros((n, LETTERS + 6), np.uint64)
     if n:
-        c[:, 1 : LETTERS + 1] = np.array(cut_, f"U{LETTERS}").view(np.uint32).reshape(n, LETTERS)
+        c[:, 1 : LETTERS + 1] = np.array(words, f"U{LETTERS}").view(np.uint32).reshape(n, LETTERS)
     c[:, 0] = 1  # word boundary
     row = np.arange(n)
     c[row, size + 1] = 1
@@ -230,8 +230,8 @@ def fit(docs: DataFrame, each: int = TRAIN_EACH) -> Tagger:
 def identify(docs: DataFrame, tagger: Tagger) -> DataFrame:
     """docs with lang_pred, score, lang_shares (map of language to share of words) and lang_switches.
 
-    Words are runs of letters of the whole text, labelled by forward-backward; a document's language is that with the
-    largest share of its words, ties by name, and score is the share. Without a text or a letter: 'und' with score 0.
+    Words are runs of letters of the whole text, LETTERS at most, labelled by forward-backward in chains of up to CHAIN
+    words; a document's language is that with the largest share of its words, ties by name, and score is the share. Without a text or a letter: 'und' with score 0.
     Rows are independent: nulls elsewhere, ties and repeated rows don't matter. Columns of the four names are replaced.
     With no learned language every text is 'und'. An empty table gives no rows.
     """
