@@ -11,11 +11,14 @@ from pyspark.sql import DataFrame, functions as F
 from bandgraph.llm.common import own_names, quoted, without
 from bandgraph.session import cut, table
 
-#: Paragraphs of the corpus that the model learns as no licence, at most about.
-NEGATIVES = 4_000
+#: Paragraphs of the corpus that the model learns as no licence, at most about; each gives a run of this many words.
+NEGATIVES, NEGATIVE_WORDS = 4_000, 300
+#: Parts of the templates, each of which is left out once to calibrate on wording that the model hasn't seen.
+PARTS = 3
 #: Words of an n-gram, at most.
 GRAMS = 3
-#: Least calibrated probability of a family, else 'unknown'; least share of a template's n-grams that confirms it.
+#: Least calibrated probability that a paragraph is not of the unknown class; least share of a template's n-grams that
+#: confirms the likeliest family.
 SURE, CONFIRM = 0.5, 0.5
 #: Most n-grams of a template that must be there whole (three words have six), as half of them is any mention.
 WHOLE = 6
@@ -123,8 +126,10 @@ def grams(ws: list[str]) -> set[str]:
 class Model:
     """Multinomial logistic regression over the n-grams of the templates that hold a word which plain text hasn't.
 
-    Weights are sparse (L1 by soft thresholds); the temperature that calibrates its probabilities, that of the unknown class
-    too, is fitted on examples left out. A paragraph without such a word has no feature, and is unknown by the biases.
+    Weights are sparse (L1 by soft thresholds). The temperature that calibrates its probabilities, that of the unknown class
+    too, is the likeliest for models fitted without a part of the templates, and without some variants of the others, on
+    those: so notices of known and of unknown wording both count. A paragraph without such a word has
+    no feature, and is unknown by the biases.
     """
 
     def __init__(self, negatives: list[str], seed: int = 3):
@@ -137,34 +142,48 @@ class Model:
         anchor = set(self.anchors)
         self.vocabulary = sorted({g for k in kept for g in k if anchor & set(g.split())})
         index = {g: i for i, g in enumerate(self.vocabulary)}
-        rows, labels = [], []
+        rows, labels, parts = [], [], []
 
-        def add(ws, label):
+        def add(ws, label, part):
             rows.append([index[g] for g in grams(ws) if g in index])
             labels.append(label)
+            parts.append(part % PARTS if part >= 0 else -1)
 
         pad = lambda: plain[rng.integers(len(plain))][: rng.integers(0, 12)] if plain else []
         for f, templates in enumerate(TEMPLATES.values()):
-            for t in templates:
+            for part, t in enumerate(templates):
                 ws = words(t)
                 for k in range(24):  # whole, with words lost, or inside other text
                     keep = [w for w in ws if k < 6 or rng.random() > 0.03 * (k - 5) / 2]
-                    add((pad() if k % 3 else []) + keep + (pad() if k % 2 else []), f)
-        for ws in [*plain, *(words(m) for m in MENTIONS for _ in range(20))]:
-            add(ws, len(TEMPLATES))
-        for w in self.anchors:  # a lone word of a licence is none
-            add([w], len(TEMPLATES))
+                    add((pad() if k % 3 else []) + keep + (pad() if k % 2 else []), f, part)
+        for part, ws in enumerate([*plain, *(words(m) for _ in range(20) for m in MENTIONS)]):
+            add(ws, len(TEMPLATES), part)
+        for w in self.anchors:  # a lone word of a licence is none, whatever the part
+            add([w], len(TEMPLATES), -1)
         x = np.zeros((len(rows), len(self.vocabulary)), np.float32)
         for i, r in enumerate(rows):
             x[i, r] = 1
         y = np.array(labels)
-        out = np.arange(len(y)) % 4 == 0
-        w, b = self._fit(x[~out], y[~out])
-        z = x[out] @ w + b
-        losses = [(-(z / t - np.log(np.exp(z / t - (z / t).max(1, keepdims=True)).sum(1, keepdims=True)) - (z / t).max(1, keepdims=True))[np.arange(out.sum()), y[out]].mean(), t) for t in (0.5, 0.7, 1.0, 1.4, 2.0)]
-        self.temperature = min(losses)[1]
+        of, margins, truth, new = np.array(parts), [], [], []
+        for part in range(PARTS):
+            out = (of == part) | (np.arange(len(y)) % 4 == part)  # whole templates, and variants of known ones
+            w, b = self._fit(x[~out], y[~out])
+            margins.append(x[out] @ w + b)
+            truth.append(y[out])
+            new.append(of[out] == part)
+        self.temperature = self._calibrated(*map(np.concatenate, (margins, truth, new)))
         self.weights, self.bias = self._fit(x, y)
 
+    def _calibrated(self, z, y, new) -> float:
+        """The temperature of the least mean loss; families count alike, and in each known and new wording do."""
+        kind = 2 * y + new
+        weight = 1 / np.bincount(kind)[kind]
+        best = []
+        for t in np.geomspace(0.5, 4.0, 40):
+            e = z / t - (z / t).max(1, keepdims=True)
+            best.append((float((weight * (np.log(np.exp(e).sum(1)) - e[np.arange(len(y)), y])).sum()), float(t)))
+        return min(best)[1]
+
     def _fit(self, x, y, steps: int = 150, rate: float = 0.5, l1: float = 2e-5):
         n, k = len(self.vocabulary), len(self.families)
         w, b = np.zeros((n, k), np.float32), np.zeros(k, np.float32)
@@ -203,7 +222,7 @@ class Model:
         family = self.families[best]
         found = [(share >= (1.0 if len(k) <= WHOLE else CONFIRM), share) for t in TEMPLATES.get(family, []) for k in [grams(words(t))] for share in [len(g & k) / len(k)]]
         sure, share = max(found, default=(False, 0.0))
-        return family if family != UNKNOWN and p[best] >= SURE and sure else UNKNOWN, float(p[best]), share
+        return family if family != UNKNOWN and 1 - p[-1] >= SURE and sure else UNKNOWN, float(p[best]), share
 
 
 def fit(docs: DataFrame, each: int = NEGATIVES) -> Model:
@@ -211,17 +230,19 @@ def fit(docs: DataFrame, each: int = NEGATIVES) -> Model:
     share = docs.agg(F.least(F.lit(1.0), F.lit(float(each)) / F.greatest(F.count("*"), F.lit(1))).alias("share"))
     picked = docs.select("doc_id", "text").join(F.broadcast(share)).where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 20)) < F.col("share") * (1 << 20))
     lines = F.split("text", "\n")
-    one = picked.where("text IS NOT NULL").select(F.get(lines, F.pmod(F.xxhash64("doc_id", F.lit(12)), F.size(lines)).cast("int")).alias("line"))
-    return Model(sorted(r.line for r in one.select(F.substring("line", 1, 2_000).alias("line")).collect()))
+    one = picked.where("text IS NOT NULL").select("doc_id", F.get(lines, F.pmod(F.xxhash64("doc_id", F.lit(12)), F.size(lines)).cast("int")).alias("line"))
+    w = one.select("doc_id", F.array_remove(F.split(F.lower("line"), BREAK), "").alias("w"))
+    start = F.pmod(F.xxhash64("doc_id", F.lit(13)), F.greatest(F.size("w") - NEGATIVE_WORDS + 1, F.lit(1))).cast("int")
+    return Model(sorted(r.line for r in w.select(F.array_join(F.slice("w", start + 1, NEGATIVE_WORDS), " ").alias("line")).collect()))
 
 
 def classify(docs: DataFrame, model: Model) -> DataFrame:
     """docs with licences: per paragraph (line) that holds one, (line_no, family, probability, template, share), by line.
 
     Only SQL functions run here: lines are cut into words; those with a word that licences alone have are cut into
-    n-grams; these are joined with the weights (broadcast, bounded by the templates) and added up. A family is found where its
-    calibrated probability is SURE at least, no other's is higher, and one of its templates has a share of CONFIRM or
-    more of its n-grams in the paragraph, all of them where it has WHOLE at most.
+    n-grams; these are joined with the weights (broadcast, bounded by the templates) and added up. A family is found where the
+    calibrated probability of the unknown class is 1 - SURE at most, no class is likelier than it, and one of its templates
+    has a share of CONFIRM or more of its n-grams in the paragraph, all of them where it has WHOLE at most.
 
     Null or empty texts have no licences. Equal (id, text) rows get equal results, also null ids. Other columns pass; a
     column licences is replaced. An empty table gives no rows.
@@ -249,8 +270,9 @@ def classify(docs: DataFrame, model: Model) -> DataFrame:
     scores = [F.col(f"z{i}") + F.lit(b) for i, b in enumerate(model.biases())]
     top = F.greatest(*scores)
     best = F.get(F.array(*map(F.lit, model.families)), (F.array_position(F.array(*scores), top) - 1).cast("int"))
-    votes = votes.select(*(F.col(c).alias(f"v_{c}") for c in keys), best.alias("family"), (F.lit(1.0) / sum((F.exp(z - top) for z in scores), F.lit(0.0))).alias("probability"))
-    votes = votes.where((F.col("family") != UNKNOWN) & (F.col("probability") >= SURE))
+    each_one = lambda z: F.exp(z - top) / sum((F.exp(y - top) for y in scores), F.lit(0.0))
+    votes = votes.select(*(F.col(c).alias(f"v_{c}") for c in keys), best.alias("family"), each_one(top).alias("probability"), each_one(scores[-1]).alias("none"))
+    votes = votes.where((F.col("family") != UNKNOWN) & (1 - F.col("none") >= SURE)).drop("none")
     size = F.first("n_grams")
     shares = each.join(forms, "gram").groupBy(*keys, "t_family", "template").agg((F.count("*") / size).alias("share"), F.when(size <= WHOLE, 1.0).otherwise(CONFIRM).alias("least"))
     same = F.col("doc_id").eqNullSafe(F.col("v_doc_id")) & (F.col("text_key") == F.col("v_text_key")) & (F.col("line_no") == F.col("v_line_no")) & (F.col("t_family") == F.col("family"))

@@ -413,26 +413,44 @@ def test_rare_words_by_join_give_the_same(spark, corpus, monkeypatch):
     assert key(lm.score(df, model, bits, words).collect()) == one
 
 
-def test_language_model_beyond_the_filter_is_exact(spark, corpus, monkeypatch):
+def test_scores_are_those_of_quantised_counts_in_either_form_of_the_filter(spark, corpus, monkeypatch):
+    """Against counts kept exactly and quantised afterwards; a filter in parts, of several parts a task, gives the same."""
     df = docs(spark, corpus)
-    monkeypatch.setattr(lm, "MOST_BITS", 1 << 10)
-    monkeypatch.setattr(lm, "HEAD", 20)
-    model, bits, words = lm.fit(df.where("doc_id % 3 <> 0"))
-    got = Counter((r.doc_id, round(r.score, 5)) for r in lm.score(df, model, bits, words).collect())
+    train = df.where("doc_id % 3 <> 0")
     token = lambda t: [*re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate({i: i + 32 for i in range(65, 91)})), " "]
-    train = [token(t) for i, t, _ in corpus if i is not None and i % 3]
-    c, n = Counter(w for t in train for w in t), sum(map(len, train))
-    two = Counter(p for t in train for p in zip([" ", *t], t))  # noqa: B905
+    texts = [token(t) for i, t, _ in corpus if i is not None and i % 3]
+    c, n = Counter(w for t in texts for w in t), sum(map(len, texts))
+    two = Counter(p for t in texts for p in zip([" ", *t], t))  # noqa: B905
+    read = lambda x: float(lm.quantum(lm.quantised(np.array([x])))[0]) if x else 0.0
 
-    def score(t):
+    def score(t, model):
         out = 0.0
         for v, w in zip([" ", *t], t):  # noqa: B905
-            a = model.weights[int(min(np.log2(max(c[v], 0.5)) + 1, lm.CLASSES - 1))]
-            one = max(c[w] - model.cut, 0.25) / n if c[w] else max(model.cut * len(c), 0.5) / n
-            out += np.log10(a * min(two[v, w], c[v], c[w]) / max(c[v], 1) + (1 - a) * one)
-        return round(out, 5)
-
-    assert got == Counter((i, score(token(t))) for i, t, _ in corpus)
+            cv, cw = read(c[v]), read(c[w])
+            a = model.weights[int(min(np.log2(max(cv, 0.5)) + 1, lm.CLASSES - 1))]
+            one = max(cw - model.cut, 0.25) / n if cw else max(model.cut * len(c), 0.5) / n
+            out += np.log10(a * min(read(two[v, w]), cv, cw) / max(cv, 1) + (1 - a) * one)
+        return out
+
+    monkeypatch.setattr(lm, "BITS_PER_TOKEN", 64)  # hardly any key is found by chance
+    for most in (1 << 29, 1 << 10):
+        monkeypatch.setattr(lm, "MOST_BITS", most)
+        monkeypatch.setattr(lm, "HEAD", 400_000 if most > 1 << 20 else 20)
+        monkeypatch.setattr(lm, "PARTS", 64 if most > 1 << 20 else 2)
+        monkeypatch.setattr(lm, "PART_BITS", 1 << 23 if most > 1 << 20 else 1 << 12)
+        model, bits, words = lm.fit(train)
+        got = sorted((r.doc_id or -1, r.score) for r in lm.score(df, model, bits, words).collect())
+        want = sorted((i or -1, score(token(t), model)) for i, t, _ in corpus)
+        assert [i for i, _ in got] == [i for i, _ in want]
+        assert np.mean(np.isclose([x for _, x in got], [x for _, x in want], atol=1e-4)) > 0.95, most
+
+
+def test_language_model_of_nothing_and_of_a_long_text(spark):
+    df = docs(spark, [(1, None, None), (2, "", None), (3, prose(random.Random(3), 30_000), None)], True)
+    model, bits, words = lm.fit(df.where("doc_id < 0"))
+    got = lm.score(df, model, bits, words).collect()
+    assert {(r.doc_id, r.n_tokens, r.n_known) for r in got} == {(1, 1, 0), (2, 1, 0), (3, 30_001, 0)} and all(np.isfinite(r.score) and np.isfinite(r.base_score) for r in got)
+    assert lm.score(df.where("doc_id < 0"), *lm.fit(df)).count() == 0
 
 
 def test_filter_has_no_false_negatives():
@@ -516,6 +534,103 @@ def test_revisits(spark):
     assert warc.resolve_revisits(df.where("kind = 'x'")).count() == 0
 
 
+#: Names that operators use inside, and columns that corpora have.
+CLASHES = ("source", "at", "curl", "rid", "r", "r_id", "r_at", "r_url", "c_url", "key", "_key", "g_key", "g_doc_id", "g_lines", "f_doc_id", "f_text_key", "f_key", "f_hit", "f_items", "t_source", "t_size", "t_target",
+           "g_source", "g_size", "g_copies", "words", "p_key", "p_doc_id", "p_found", "text_key", "line_no", "k0", "mark", "head", "tail", "set_id", "sig", "node", "comp", "uid", "n", "w", "part", "ahead", "id", "headers2", "Part", "size", "items", "score")
+
+
+def test_clashing_names(spark, corpus):
+    rows = [r for r in corpus if r[0] is not None and (r[0] < 12 or r[0] > 105)]
+    extra = [c for c in CLASHES if c.lower() not in ("source",)]
+    extra = list({c.lower(): c for c in extra}.values())
+    df = docs(spark, rows).select("*", *(F.lit(f"kept {c}").alias(c) for c in extra))
+    items = spark.createDataFrame([(1, rows[3][1])], "item_id long, text string")
+    model = licenses.Model(["plain words of a text"] * 5)
+    tagger = langid.Tagger().fit(["one two three", "un deux trois"], ["en", "fr"])
+    runs = {
+        "lines": (lines.dedup_lines(df), ("n_lines", "removed")), "bench": (dec.decontaminate(df, items), ("n_words", "n_hit", "items", "contaminated")),
+        "mix": (mixing.mix(df, mixing.word_count(F.col("text"))), ("size", "source_size", "target", "copies", "taken")), "licences": (licenses.classify(df, model), ("licences",)),
+        "language": (langid.identify(df, tagger), ("lang_pred", "score", "lang_shares", "lang_switches")), "fingerprint": (cws.fingerprint(df), ("fingerprint",)),
+    }
+    for name, (out, added) in runs.items():
+        assert len({c.lower() for c in out.columns}) == len(out.columns), name
+        got = out.collect()
+        assert len(got) == len(rows), name
+        for c in extra:
+            assert c in added or all(r[c] == f"kept {c}" for r in got), (name, c)
+    assert partenum.jaccard_components(df).count() == len(rows) == cws.edit_chain(df, 2).count()
+    log = spark.createDataFrame([("r1", "http://a/x", 1, "response", 200, {"ETag": "1"}, "d"), ("v1", "http://a/x", 2, "revisit", 304, {"ETag": "1"}, None)], "record_id string, url string, m long, kind string, status int, headers map<string,string>, digest string")
+    log = log.withColumn("date", F.timestamp_seconds("m")).select("*", *(F.lit(f"kept {c}").alias(c) for c in [*extra, "source", "source_id", "canonical_url", "result"]))
+    out = warc.resolve_revisits(log)
+    r = out.first()
+    assert len({c.lower() for c in out.columns}) == len(out.columns) and (r.result, r.source_id, r.canonical_url) == ("resolved", "r1", "a/x") and r.source_digest == "d"
+    assert all(r[c] == f"kept {c}" == r[f"source_{c}"] for c in [*extra, "source"] if c not in ("id",))
+
+
+EDGE = [(1, None, "en", "a"), (2, "", "en", "a"), (3, " \n ", "en", None), (4, "12 34 !!", "en", "a"), (5, "one line here\nand another one there", "en", "a"), (5, "one line here\nand another one there", "en", "a"),
+        (6, "one line here\nand another one there", "en", "b"), (None, "without an id this text stays", "en", "b"), (None, "without an id this text stays", None, None), (7, "short", None, "b")]
+
+
+def test_pipeline_stages_on_edge_cases(spark, tmp_path):
+    """Nulls, empty and very long texts, repeated rows, clashing columns and empty tables, by each stage."""
+    import corpus_pipeline as p
+    from bandgraph.session import cut
+
+    rng = random.Random(67)
+    rows = [*EDGE, (8, "\n".join(prose(rng, 40) for _ in range(1_500)), "en", "c")]
+    spark.createDataFrame([(1, " ".join(rows[10][1].split()[300:312]))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    df = spark.createDataFrame([(i, t, l, s, len(t or "")) for i, t, l, s in rows], "doc_id long, text string, lang string, source string, n_chars long").withColumns({"size": F.lit(1), "comp": F.lit(2), "key": F.lit(3), "removed": F.lit(4)})
+    ids = lambda out: Counter(r.doc_id for r in out.select("doc_id").collect())
+    got = {name: cut(stage(spark, df, str(tmp_path))) for name, stage in p.STAGES}
+    assert ids(got["language"]) == {5: 2, 6: 1, None: 2, 7: 1, 8: 1}
+    assert ids(got["line_dedup"]) == {1: 1, 2: 1, 3: 1, 4: 1, 5: 2, None: 2, 7: 1, 8: 1}  # the null ids are equal rows
+    assert ids(got["ngram_jaccard"]) == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, None: 2, 7: 1, 8: 1}
+    assert ids(got["decontamination"]) == Counter(i for i, *_ in rows if i != 8)
+    assert set(ids(got["mixing"])) <= {4, 5, 6, 7, 8, None}
+    for name, stage in p.STAGES:
+        assert cut(stage(spark, df.where("doc_id < 0"), str(tmp_path))).count() == 0, name
+        if name != p.STAGES[-1][0]:
+            assert got[name].columns == df.columns
+
+
+def test_pipeline_is_what_brute_force_gives(spark, tmp_path):
+    import corpus_pipeline as p
+
+    rng, rows = random.Random(71), []
+    for i in range(40):
+        rows.append([i, "\n".join(prose(rng, rng.randint(8, 20)) for _ in range(rng.randint(1, 4))), f"s{i % 3}"])
+    for i in range(40, 50):
+        w = rows[i - 40][1].split(" ")
+        w[len(w) // 2] = "changed"
+        rows.append([i, " ".join(w), "s1"])
+    rows += [[50, rows[7][1], "s1"], [51, "1234 5678", "s1"], [52, None, "s2"], [53, prose(rng, 9) + "\n" + rows[9][1].split("\n")[0], "s2"]]
+    items = [(0, " ".join(rows[12][1].split()[:11])), (1, prose(rng, 20))]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s in rows], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    left = [r for r in rows if re.search("[a-z]", r[1] or "")]  # language
+    kept = {}
+    for i, text, gone in expected_lines(left)[0]:  # lines
+        if not gone or normal(text):
+            kept[i] = text
+    left = [[i, kept[i], s] for i, _, s in left if i in kept]
+    heads = {i: c for (i, _, c) in jaccard_truth(left, 5, 80)}
+    left = [r for r in left if heads[r[0]] == r[0]]
+    grams = lambda w: {tuple(w[k : k + 10]) for k in range(len(w) - 9)}
+    leaks = {g for _, t in items for g in grams(t.split())}
+    left = [r for r in left if not grams(r[1].split()) & leaks]
+    size = {i: len(t.split()) for i, t, _ in left}
+    got = p.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in got} <= set(size) and all(r.text == kept[r.doc_id] and r.size == size[r.doc_id] and r.n_chars == len(r.text) for r in got)
+    assert 30 < len(size) < 50
+    # The mix takes what fits: budget within a document, near the target of each source, and everything up to its caps.
+    total = Counter()
+    for r in got:
+        total[r.source] += r.taken
+        assert r.taken == r.copies * r.size <= 2 * r.size
+    assert {s: sum(size[i] for i, _, x in left if x == s) for s in total} == {r.source: r.source_size for r in got}
+    assert all(abs(total[r.source] - r.target) <= 2 * max(size.values()) for r in got)
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline as p
     from bandgraph.session import cut, table
