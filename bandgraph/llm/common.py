@@ -48,19 +48,14 @@ def without(df: DataFrame, *names: str) -> list[str]:
 HOT, SAMPLE, MOST_HOT = 2_048, 64, 1_000_000
 
 
-def sampled(rows: DataFrame) -> DataFrame:
-    """One row in SAMPLE, whatever it holds, to estimate how often keys occur."""
-    return rows.where(F.rand(7) < 1.0 / SAMPLE)
+def meetings(marks: DataFrame, key: str, member: str) -> DataFrame:
+    """(key, member, head) of cut marks (key, member), for keys that several members have; head is the least of them.
 
-
-def meetings(marks: DataFrame, some: DataFrame, key: str, member: str) -> DataFrame:
-    """(key, member, head) of marks (key, member), for keys that several members have; head is the least of them.
-
-    Marks are dealt out by key once, for the sums and for the join with them. Hot keys, found in the sample `some` of the
-    marks, go another way: their few heads are summed before the shuffle and broadcast, so that no task gathers a hot key.
+    Marks are dealt out by key once, for the sums and for the join with them. Hot keys, found in a sample of the marks,
+    go another way: their few heads are summed before the shuffle and broadcast, so that no task gathers a hot key.
     Hot keys that are too many for that are left to the splitting of skewed joins, with sums before the shuffle all the same.
     """
-    hot = cut(some.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") >= HOT // SAMPLE).select(key))
+    hot = cut(marks.where(F.rand(7) < 1.0 / SAMPLE).groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") >= HOT // SAMPLE).select(key))
     n = hot.count()
     ends = lambda m: m.groupBy(key).agg(F.min(member).alias("head"), F.max(member).alias("tail")).where("head <> tail").select(key, "head")
     if n > MOST_HOT:

@@ -11,7 +11,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from bandgraph.llm.common import meetings, sampled, split_keys
+from bandgraph.llm.common import meetings, split_keys
 from bandgraph.llm.hashing import MULT, hashed_words, mixed, pieces
 from bandgraph.operators.graph import components
 from bandgraph.session import Scratch, cut, table
@@ -282,8 +282,7 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
         one = F.min(F.struct("doc_id", F.col("n_shingles").alias("n"), "sketch")).alias("m")
         classes = found.where("set_id IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_id").agg(one)
         classes = cut(classes.select("set_id", F.col("m.doc_id").alias("rep"), "m.n", "m.sketch"))
-        marks = lambda df: df.select(F.explode("sigs").alias("sig"), "set_id")
-        members = cut(meetings(marks(found), marks(sampled(found)), "sig", "set_id").distinct())
+        members = cut(meetings(found.select(F.explode("sigs").alias("sig"), "set_id"), "sig", "set_id").distinct())
         scratch.free(found)
         side = lambda k: classes.select(F.col("set_id").alias(k), F.struct("n", "sketch").alias(f"p{k}"))
         star = members.where("set_id <> head").groupBy(F.col("set_id").alias("b")).agg(F.min("head").alias("a"))

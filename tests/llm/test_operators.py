@@ -160,22 +160,17 @@ def test_line_dedup(spark, corpus):
 def test_blocks_are_majorities_of_their_voters(spark):
     rng = random.Random(9)
     for n in (1, 2, 5, 60, 700):
-        occ = lines._occurrences(spark.createDataFrame([(1, prose(rng, n) + " extraordinary")], "doc_id long, text string"))
-        words = [w for w in dict.fromkeys(occ.first().norm.split()) if len(w) >= lines.LONG]
-        h = sorted(r[0] for r in spark.createDataFrame([(w,) for w in words], "w string").select(F.xxhash64("w")).distinct().collect())
-        for bits, _, _, lone in lines.CUTS:
-            groups = {}
-            for x in h:
-                groups.setdefault((x & (2**64 - 1)) >> (64 - bits), []).append(x)
-            want = []
-            for v in groups.values():
-                if len(v) > 1 or lone:
-                    v = v[:3]
-                    ones = sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in v) > len(v))
-                    want.append(ones - 2**64 if ones >> 63 else ones)
-            blocks = spark.createDataFrame([(h,)], "ring array<bigint>").select(lines._blocks(F.col("ring"), bits, lone).alias("m")).first().m
-            hashed = spark.createDataFrame([(x,) for x in want], "x long").select(F.xxhash64("x", F.lit(bits))).collect() if want else []
-            assert sorted(blocks) == sorted(r[0] for r in hashed), (n, bits, lone)
+        h = sorted(rng.randrange(-(2**63), 2**63) for _ in range(n))
+        groups = {}
+        for x in h:
+            groups.setdefault(((x & (2**64 - 1)) >> 32) * lines.BLOCKS >> 32, []).append(x)
+        want = []
+        for v in groups.values():
+            if len(v) > 1:
+                ones = sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in v[:3]) > len(v[:3]))
+                want.append(ones - 2**64 if ones >> 63 else ones)
+        got = spark.createDataFrame([(h,)], "ring array<bigint>").select(lines._blocks(F.col("ring")).alias("b"), lines._pairs(F.col("ring")).alias("p")).first()
+        assert sorted(got.b) == sorted(want) and got.p == [x & y for x, y in zip(h, [*h[1:], h[0]], strict=True)], n
 
 
 def test_recall_of_line_links_against_edit_similarity(spark):
