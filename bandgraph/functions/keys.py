@@ -21,10 +21,12 @@ def label(c: Column) -> Column:
 
 
 def label_after_colon(description: Column, name: Column) -> Column:
-    """What follows the first colon (ASCII or full width) of a description, else the name without a level prefix."""
-    rest = F.trim(F.regexp_extract(F.coalesce(description, F.lit("")), r"^[^:：]*[:：](.*)$", 1))
-    plain = F.trim(F.regexp_replace(F.coalesce(name, F.lit("")), r"^SW[123][_\-: ]*", ""))
-    return F.when(rest != "", rest).otherwise(plain)
+    """What follows the first ASCII colon of a description, or else its first full width colon, '' too; without either the
+    name without a level prefix."""
+    text, plain = F.coalesce(description, F.lit("")), F.trim(F.coalesce(name, F.lit("")))
+    after = lambda colon: F.trim(F.regexp_extract(text, f"^[^{colon}]*{colon}((?s).*)$", 1))
+    out = F.when(F.contains(text, F.lit(":")), after(":")).when(F.contains(text, F.lit("：")), after("："))
+    return out.otherwise(F.trim(F.regexp_replace(plain, r"^SW[123]", "")))
 
 
 def label_level(cls: Column, id_: Column, name: Column) -> Column:

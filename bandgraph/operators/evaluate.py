@@ -7,9 +7,16 @@ from pyspark.sql import DataFrame, Window, functions as F
 from bandgraph.functions.keys import entity_code, label_after_colon, label_level
 
 
+def normal_universe(values: DataFrame, column: str = "entity") -> DataFrame:
+    """(entity, place) of the distinct codes of a column, without empty ones, in order of their first rows."""
+    rows = values.select(entity_code(F.col(column)).alias("entity"), F.monotonically_increasing_id().alias("row")).where("entity <> ''")
+    first = rows.groupBy("entity").agg(F.min("row").alias("place"))
+    return first.orderBy("place")
+
+
 def label_table(universe: DataFrame, level: str, category: str = "equity") -> DataFrame:
     """(entity, level, label, is_conflict, conflict_labels, ids, n_ids) of universe (id, class, name, description, category, symbols)."""
-    rows = universe.where(F.col("category") == category).select("id", label_level(F.col("class"), F.col("id"), F.col("name")).alias("level"), label_after_colon(F.col("description"), F.col("name")).alias("label"), F.explode("symbols").alias("symbol"))
+    rows = universe.where(F.lower("category") == category).select("id", label_level(F.col("class"), F.col("id"), F.col("name")).alias("level"), label_after_colon(F.col("description"), F.col("name")).alias("label"), F.explode("symbols").alias("symbol"))
     rows = rows.where((F.col("level") == level) & (F.col("label") != "")).select("id", "label", entity_code(F.col("symbol")).alias("entity")).where("entity <> ''")
     labels, ids = F.array_sort(F.collect_set("label")), F.array_sort(F.collect_set("id"))
     out = rows.groupBy("entity").agg(labels.alias("labels"), ids.alias("all_ids"))
@@ -84,7 +91,3 @@ def level_metrics(assignments: DataFrame, tables: dict[str, DataFrame]) -> DataF
 def cluster_stats(assignments: DataFrame) -> DataFrame:
     sizes = assignments.groupBy("cluster_id").agg(F.count("*").alias("n"))
     return sizes.agg(F.count("*").alias("n_communities"), F.count_if(F.col("n") == 1).alias("n_singletons"), F.max("n").alias("largest"), F.median("n").alias("median_size"))
-
-
-def members(assignments: DataFrame) -> DataFrame:
-    return assignments.groupBy("cluster_id").agg(F.array_sort(F.collect_list("entity")).alias("entities"))

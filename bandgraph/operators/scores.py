@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from bandgraph.functions import vectors as V
+from bandgraph.operators.ranks import quantiles
 from bandgraph.params import check_signed
 
 #: Presets: name to (reducer, layer weighting).
@@ -16,7 +17,8 @@ def threshold(sim: DataFrame, entities: int, q: float) -> DataFrame:
     rows = sim.select(F.explode("s").alias("x"), F.lit(2).cast("bigint").alias("n"))
     bands = sim.select(F.size("s").alias("b")).limit(1)
     zeros = bands.select(F.lit(0.0).alias("x"), (F.col("b") * entities).cast("bigint").alias("n"))
-    return rows.union(zeros).agg(F.greatest(F.percentile("x", F.lit(q), F.col("n")), F.lit(0.0)).alias("tau"))
+    (tau,) = quantiles(rows.union(zeros), [q])
+    return sim.sparkSession.createDataFrame([(max(tau or 0.0, 0.0),)], "tau double")
 
 
 def adjacency(sim: DataFrame, tau: DataFrame, layer_step: float) -> DataFrame:

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from bandgraph.functions import vectors as V
+from bandgraph.operators.ranks import quantiles
 
 BLOCK = 512
 
@@ -60,5 +61,19 @@ def all_pairs(unit: DataFrame, engine: str = "blocks", block: int = BLOCK) -> Da
 def matrix_summary(sim: DataFrame, entities: int, band: int, diagonal: float = 0.0) -> DataFrame:
     """mean, population deviation, min, max and quantiles over the pairs of a band, and the diagonal's value."""
     s = F.get("s", F.lit(band))
-    share = [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]
-    return sim.agg(F.lit(diagonal).alias("diagonal"), F.lit(entities).alias("n"), F.avg(s).alias("mean"), F.stddev_pop(s).alias("std"), F.min(s).alias("min"), F.max(s).alias("max"), F.percentile(s, share).alias("quantiles"))
+    found = quantiles(sim.select(s.alias("x"), F.lit(1).cast("bigint").alias("n")), [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99])
+    values = F.array(*(F.lit(q).cast("double") for q in found))
+    return sim.agg(F.lit(diagonal).alias("diagonal"), F.lit(entities).alias("n"), F.avg(s).alias("mean"), F.stddev_pop(s).alias("std"), F.min(s).alias("min"), F.max(s).alias("max"), values.alias("quantiles"))
+
+
+def with_landmarks(unit: DataFrame, landmarks: list) -> DataFrame:
+    """(i, j, s) of every entity i and each landmark j that it is not: the landmarks' bands go to all tasks, nothing is shuffled."""
+    from_ = F.broadcast(unit.where(F.col("entity").isin(landmarks)).select(F.col("entity").alias("j"), F.col("bands").alias("theirs")))  # as many rows as landmarks
+    both = unit.join(from_, F.col("entity") != F.col("j"))
+    return both.select(F.col("entity").alias("i"), "j", F.zip_with("bands", "theirs", V.dot).alias("s"))
+
+
+def restricted(sim: DataFrame, entities: DataFrame) -> DataFrame:
+    """The pairs of sim both of whose entities are listed: a slice of what is there, nothing is computed anew."""
+    kept = entities.select("entity").distinct()
+    return sim.join(kept.withColumnRenamed("entity", "i"), "i", "left_semi").join(kept.withColumnRenamed("entity", "j"), "j", "left_semi").select("i", "j", "s")

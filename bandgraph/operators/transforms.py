@@ -89,9 +89,14 @@ def industry_neutral(returns: DataFrame, industries: DataFrame) -> DataFrame:
 
 
 def industry_map(info: DataFrame, strict: bool = True) -> DataFrame:
-    """(code, industry) of info (symbol, ts_code, industry), under both codes. Conflicts: an error if strict, else the last row's."""
+    """(code, industry) of info (symbol, ts_code, industry), under both codes. Conflicts: an error if strict, else the last row's.
+
+    Only strict maps take words that mean no label, such as UNK, for none; others leave out blanks and nan alone.
+    """
     rows = info.withColumn("_row", F.monotonically_increasing_id())
-    keys = rows.select(F.explode(F.array_distinct(F.array(entity_code(F.col("ts_code")), entity_code(F.col("symbol"))))).alias("code"), label(F.col("industry")).alias("industry"), "_row")
+    plain = F.trim(F.col("industry").cast("string"))
+    of = label(F.col("industry")) if strict else F.when(~F.lower(plain).isin("", "nan"), plain)
+    keys = rows.select(F.explode(F.array_distinct(F.array(entity_code(F.col("ts_code")), entity_code(F.col("symbol"))))).alias("code"), of.alias("industry"), "_row")
     keys = keys.where("code <> '' AND industry IS NOT NULL")
     if strict and (bad := keys.groupBy("code").agg(F.count_distinct("industry").alias("n")).where("n > 1").limit(5).collect()):
         raise ValueError(f"codes with several industries: {[r.code for r in bad]}")
@@ -111,6 +116,16 @@ def check_universe(universe: DataFrame) -> None:
         raise ValueError("fewer than two entities have an industry of the least size")
 
 
+def check_industries(entities: DataFrame, industries: DataFrame) -> None:
+    """Every entity must have an industry, a real one, and no industry may have a single entity."""
+    both = entities.select("entity").distinct().join(industries.select("entity", F.col("industry").alias("given"), label(F.col("industry")).alias("industry"), F.lit(True).alias("there")), "entity", "left")
+    for what, bad in (("not covered", "there IS NULL"), ("invalid", "industry IS NULL")):
+        if rows := both.where(bad).orderBy("entity").limit(5).collect():
+            raise ValueError(f"industries {what}: {[r.entity for r in rows]}")
+    if rows := both.groupBy("industry").count().where("count < 2").orderBy("industry").limit(5).collect():
+        raise ValueError(f"industries of a single entity: {[r.industry for r in rows]}")
+
+
 def factor_branches(panel: DataFrame, industries: DataFrame, winsor: tuple[float, float]) -> DataFrame:
     """(branch, entity, t, r): raw, market_residual_internal and sequential. The last isn't scaled again."""
     w = winsorized(P.log_returns(panel), *winsor)

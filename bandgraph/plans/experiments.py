@@ -59,6 +59,30 @@ def combined(runs: list[tuple[str, DataFrame, dict]], metric: str = "SW1_ari") -
     return out.withColumn("_place", F.row_number().over(order)).where("_place = 1").drop("_place").orderBy(F.desc_nulls_last(metric), "global_trial_id")
 
 
+def combined_windows(runs: list[tuple[str, DataFrame, dict]], metric: str = "SW1_ari", dedupe: bool = True) -> DataFrame:
+    """Results of run folders by name of column, the best metric first; rows that lack them have the folder's window.
+
+    window_id is the manifest's, else the folder's name; window_start and window_end are the manifest's dates. Trials have
+    global_trial_id, window and trial together; of a repeated one the best row stays (status ok, then the metric, then most
+    values), unless dedupe is off; rows without a trial all stay.
+    """
+    frames = []
+    for name, rows, manifest in runs:
+        window = {"window_id": manifest.get("window_id") or name, "window_start": manifest.get("start_date") or "", "window_end": manifest.get("end_date") or ""}
+        for c, default in window.items():
+            rows = rows.withColumn(c, F.coalesce(F.nullif(F.col(c).cast("string"), F.lit("")), F.lit(str(default))) if c in rows.columns else F.lit(str(default)))
+        frames.append(rows.withColumn("global_trial_id", F.concat_ws("_", "window_id", "trial_id")) if "trial_id" in rows.columns else rows)
+    out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    value = F.col(metric).try_cast("double") if metric in out.columns else F.lit(None).cast("double")
+    if dedupe and "global_trial_id" in out.columns:
+        ok = (F.col("status") == "ok") if "status" in out.columns else F.lit(False)
+        filled = sum((F.col(c).isNotNull().cast("int") for c in out.columns), F.lit(0))
+        order = Window.partitionBy("global_trial_id").orderBy(F.desc(F.coalesce(ok, F.lit(False))), F.desc_nulls_last("_value"), F.desc("_filled"), "_result_dir")
+        out = out.withColumns({"_value": value, "_filled": filled}).withColumn("_place", F.row_number().over(order))
+        out = out.where("_place = 1 OR global_trial_id IS NULL").drop("_value", "_filled", "_place")
+    return out.orderBy(F.desc_nulls_last(value))
+
+
 def monotonicity(rows: DataFrame, levels: tuple[int, ...] = (2, 3, 4, 5, 6)) -> DataFrame:
     """(operator, n_levels, start, end, rho, trend) of (operator, level, ari)."""
     order = Window.partitionBy("operator").orderBy("level")
@@ -76,6 +100,14 @@ def gate(found: dict, wanted: dict, tolerance: float = 1e-9) -> dict:
     return {"passed": all(c["passed"] for c in checks.values()), "checks": checks}
 
 
+def reference_run_gate(manifest: dict, rows: DataFrame, branches: tuple[str, ...], entities: int, levels: tuple[int, ...] = (2, 3, 4, 5, 6), fixed: dict | None = None) -> dict:
+    """Whether a control run is complete and as it was set up: its gates, levels, branches, rows, entities and parameters."""
+    values = {c: {r[0] for r in rows.select(c).distinct().collect()} for c in ("level", "branch", "n_entities", *(fixed or {}))}
+    found = {"formal_complete": manifest.get("formal") is True and manifest.get("status") == "complete", "operator_gate": (manifest.get("operator_reference_gate") or {}).get("passed") is True, "archive_gate": (manifest.get("archive_gate") or {}).get("passed") is True,
+             "levels": values["level"] == set(levels), "branches": values["branch"] == set(branches), "rows": rows.count() == len(levels) * len(branches), "entities": values["n_entities"] == {entities}, "fixed": all(values[c] == {v} for c, v in (fixed or {}).items())}
+    return {"passed": all(found.values()), "checks": {k: {"found": v, "wanted": True, "passed": v} for k, v in found.items()}}
+
+
 def require(result: dict) -> None:
     if not result["passed"]:
         raise RuntimeError(f"gate not passed: {[k for k, c in result['checks'].items() if not c['passed']]}")

@@ -48,13 +48,20 @@ CTES = {
     "info": "info AS (SELECT l, r, sum(n / t * ln(t * n / (a * b))) AS mi, -sum(n / t * ln(a / t)) AS ha, -sum(n / t * ln(b / t)) AS hb FROM joint GROUP BY 1, 2)",
     "flow": "flow AS (SELECT row, col, p / sum(p) OVER (PARTITION BY col) AS p FROM (SELECT i AS row, j AS col, round(w, 6) AS p FROM adj UNION ALL SELECT j, i, round(w, 6) FROM adj UNION ALL SELECT s_suppkey, s_suppkey, 1.0 FROM supplier))",
     "step": "step AS (SELECT row, col, p / sum(p) OVER (PARTITION BY col) AS p FROM (SELECT a.row, b.col, pow(sum(a.p * b.p), 1.8) AS p FROM flow a JOIN flow b ON a.col = b.row GROUP BY 1, 2))",
+    "rband": "rband AS (SELECT entity, band, k, rank() OVER (PARTITION BY entity, band ORDER BY x) + (count(*) OVER (PARTITION BY entity, band, x) - 1) / 2.0 AS x FROM bands)",
+    "rcent": "rcent AS (SELECT entity, band, k, x - avg(x) OVER (PARTITION BY entity, band) AS x FROM rband)",
+    "runit": "runit AS (SELECT entity, band, k, x / coalesce(nullif(sqrt(sum(x * x) OVER (PARTITION BY entity, band)), 0), 1) AS v FROM rcent)",
+    "rsim": "rsim AS (SELECT a.entity AS i, b.entity AS j, a.band, round(sum(a.v * b.v), 9) AS s FROM runit a JOIN runit b ON a.band = b.band AND a.k = b.k AND a.entity < b.entity GROUP BY 1, 2, 3)",
+    **{f"m{n}": f"m{n} AS (SELECT row, col, round(p, 9) + 0.0 AS p FROM (SELECT *, row_number() OVER (PARTITION BY col ORDER BY p DESC, row) AS k FROM (SELECT row, col, p / sum(p) OVER (PARTITION BY col) AS p FROM (SELECT a.row, b.col, pow(sum(a.p * b.p), 1.8) AS p FROM {before} a JOIN {before} b ON a.col = b.row GROUP BY 1, 2))) WHERE p >= 1e-3 OR k = 1)" for n, before in ((1, "flow"), (2, "m1"), (3, "m2"))},
+    "emb": "emb AS (SELECT vec_id, label::VARCHAR AS label, k, x / sqrt(sum(x * x) OVER (PARTITION BY vec_id)) AS v FROM (SELECT vec_id, label, unnest(range(1, len(embedding) + 1)) AS k, unnest(embedding)::DOUBLE AS x FROM embeddings))",
+    "elink": "elink AS (SELECT a.vec_id AS i, b.vec_id AS j FROM emb a JOIN emb b ON a.k = b.k AND a.vec_id < b.vec_id GROUP BY 1, 2 HAVING sum(a.v * b.v) > 0.6)",
     "trend": "trend AS (SELECT l_returnflag AS operator, l_linenumber AS level, round(avg(l_discount), 9) AS ari FROM lineitem WHERE l_linenumber BETWEEN 2 AND 6 GROUP BY 1, 2)",
 }
 #: What each expression uses.
 USES = {
     "grid": "panel", "locf": "grid", "lr": "locf", "ret": "lr", "low": "ret", "win": "low", "z": "win", "loo": "win", "fit": "loo", "res": "fit", "mz": "res", "a0": "z", "l1": "a0 taps", "l2": "l1", "bands": "l2",
     "unit": "bands", "sim": "unit", "wide": "sim", "tau": "sim", "adj": "wide tau", "dense": "wide", "terms": "wide", "lab": "uni", "tab": "asg ind", "pairs": "tab", "agree": "pairs", "ranked": "sim", "two": "ranked",
-    "joint": "two", "info": "joint", "flow": "adj", "step": "flow",
+    "joint": "two", "rband": "bands", "rcent": "rband", "runit": "rcent", "rsim": "runit", "m1": "flow", "m2": "m1", "m3": "m2", "elink": "emb", "info": "joint", "flow": "adj", "step": "flow",
 }
 
 
@@ -66,7 +73,7 @@ def sql(uses: str, final: str, recursive: str = "") -> str:
         if c not in need:
             need.add(c)
             todo += USES.get(c, "").split()
-    parts = [t.replace(" AS (", " AS MATERIALIZED (", 1) if c in ("sim", "z", "win", "l1", "unit") else t for c, t in CTES.items() if c in need]
+    parts = [t.replace(" AS (", " AS MATERIALIZED (", 1) if c in ("sim", "z", "win", "l1", "unit", "rsim", "runit", "m1", "m2", "emb", "elink") else t for c, t in CTES.items() if c in need]
     parts += [recursive] if recursive else []
     return ("WITH " + ("RECURSIVE " if recursive else "") + ",\n".join(parts) + "\n" if parts else "") + final
 
@@ -135,4 +142,33 @@ ORACLE = {
       SELECT *, row_number() OVER (PARTITION BY trial_id ORDER BY (status = 'ok') DESC) AS k FROM (
         SELECT o_custkey::VARCHAR AS trial_id, CASE WHEN o_orderstatus = 'F' THEN 'ok' ELSE 'failed' END AS status, max(o_totalprice) AS SW1_ari FROM orders GROUP BY 1, 2)) WHERE k = 1""",
 }
+REACH = "{0}(a, b) AS (SELECT i, j FROM {1} UNION SELECT j, i FROM {1} UNION SELECT r.a, e.b FROM {0} r JOIN (SELECT i AS a, j AS b FROM {1} UNION ALL SELECT j, i FROM {1}) e ON e.a = r.b)"
+#: Agreement of the groups in `tab` (label, cluster_id, n), as the expressions pairs and agree have it.
+AGREE = ",\n".join(CTES[c] for c in ("pairs", "agree"))
+ORACLE |= {
+    "sim_spearman": sql("rsim", "SELECT i, j, " + ", ".join(f"round(max(s) FILTER (band = {k}), 6) + 0.0 AS s{k}" for k in range(3)) + " FROM rsim GROUP BY 1, 2"),
+    "sub_universe": sql("wide ind", "SELECT i, j, " + _r("s0 s1 s2") + " FROM wide WHERE i IN (SELECT entity FROM ind WHERE region = '1') AND j IN (SELECT entity FROM ind WHERE region = '1')"),
+    "mcl_three_rounds": sql("m3", "SELECT row, col, round(p, 5) + 0.0 AS p FROM m3"),
+    "partition_agreement": sql("adj asg", "SELECT ari + 0.0 AS ari, nmi + 0.0 AS nmi, n, n_labels, n_clusters FROM agree", REACH.format("reach", "adj") + """,
+part AS (SELECT s_suppkey AS entity, coalesce(c, s_suppkey)::VARCHAR AS label FROM supplier LEFT JOIN (SELECT a, min(least(a, b)) AS c FROM reach GROUP BY 1) ON a = s_suppkey),
+tab AS (SELECT label, cluster_id, count(*) AS n FROM part JOIN asg USING (entity) GROUP BY 1, 2),\n""" + AGREE),
+    "embedding_clusters": sql("elink", "SELECT ari + 0.0 AS ari, nmi + 0.0 AS nmi, n, n_labels, n_clusters FROM agree", REACH.format("reach", "elink") + """,
+part AS (SELECT vec_id, coalesce(c, vec_id)::VARCHAR AS cluster_id FROM embeddings LEFT JOIN (SELECT a, min(least(a, b)) AS c FROM reach GROUP BY 1) ON a = vec_id),
+tab AS (SELECT label::VARCHAR AS label, cluster_id, count(*) AS n FROM part JOIN embeddings USING (vec_id) GROUP BY 1, 2),\n""" + AGREE),
+}
+#: Grids: trials by cross joins of the axes, ids by SHA-1 of the canonical JSON.
+GRID = """feat AS (SELECT w, l, row_number() OVER (ORDER BY wi, l) - 1 AS fi, '{"level": ' || l || ', "wavelet": "' || w || '"}' AS feature, '{"level":' || l || ',"wavelet":"' || w || '"}' AS fj
+  FROM (VALUES (0, 'sym2'), (1, 'db4'), (2, 'sym4'), (3, 'coif1')) a(wi, w), (VALUES (2), (3), (4), (5), (6)) b(l)),
+clus(ci, cluster, cj) AS (VALUES (0, '{"gamma": 0.35, "kind": "dense_spectral_power", "n_clusters": 10}', '{"gamma":0.35,"kind":"dense_spectral_power","n_clusters":10}'), (1, '{"gamma": 0.35, "kind": "dense_spectral_power", "n_clusters": 25}', '{"gamma":0.35,"kind":"dense_spectral_power","n_clusters":25}'),
+  (2, '{"inflation": 1.4, "kind": "mcl"}', '{"inflation":1.4,"kind":"mcl"}'), (3, '{"inflation": 1.8, "kind": "mcl"}', '{"inflation":1.8,"kind":"mcl"}')),
+grid AS (SELECT fi * 4 + ci AS index, left(sha1('{"cluster":' || cj || ',"feature":' || fj || ',"strict_no_metadata":true}'), 16) AS trial_id, feature, cluster FROM feat, clus)"""
+ORACLE["trial_grid"] = f"WITH {GRID} SELECT index, trial_id, feature, cluster FROM grid"
+ORACLE["trial_shard"] = f"WITH {GRID} SELECT index, trial_id FROM grid WHERE index % 3 = 1"
+ORACLE["grid_expansion"] = """WITH feat AS (SELECT row_number() OVER (ORDER BY wi, l) - 1 AS fi, '{"k": 0.0, "levels": ' || l || ', "q_threshold": 0.996, "return_mode": "raw", "wavelet": "' || w || '", "wavelet_transform": "modwt", "winsor_limit": 0.03}' AS feature FROM (VALUES (0, 'sym2'), (1, 'db4')) a(wi, w), (VALUES (2), (3), (4)) b(l)),
+power AS (SELECT 1 AS c, g::DOUBLE * 100 + n AS o, '{"assign_labels": "kmeans", "clusterer": "dense_spectral_power", "gamma": ' || g || ', "n_clusters": ' || n || ', "seed": 42}' AS cluster FROM (VALUES ('0.3'), ('0.35')) a(g), (VALUES (10), (25)) b(n)),
+knn AS (SELECT 2, t * 10000 + g::DOUBLE * 1000 + n, '{"assign_labels": "kmeans", "clusterer": "knn_spectral", "gamma": ' || g || ', "n_clusters": ' || n || ', "seed": 42, "top_k": ' || t || '}' FROM (VALUES (8), (16)) c(t), (VALUES ('0.3'), ('0.35')) a(g), (VALUES (10), (25)) b(n)),
+mcl AS (SELECT 3, i::DOUBLE, '{"clusterer": "mcl", "inflation": ' || i || ', "pruning_threshold": 0.05, "seed": 42}' FROM (VALUES ('1.4'), ('1.8')) a(i)),
+clus AS (SELECT cluster, row_number() OVER (ORDER BY c, o) - 1 AS ci FROM (SELECT * FROM power UNION ALL SELECT * FROM knn UNION ALL SELECT * FROM mcl UNION ALL SELECT 4, 0, '{"clusterer": "connected_components", "seed": 42}')),
+grid AS (SELECT fi * 15 + ci AS index, left(sha1('{"cluster":' || replace(replace(cluster, ': ', ':'), ', ', ',') || ',"feature":' || replace(replace(feature, ': ', ':'), ', ', ',') || ',"strict_no_metadata":true}'), 16) AS trial_id, feature, cluster FROM feat, clus)
+SELECT index, trial_id, feature, cluster FROM grid WHERE index % 3 = 1 ORDER BY index LIMIT 20"""
 ORACLE["modwt_l2_arrow"] = ORACLE["modwt_l2"]

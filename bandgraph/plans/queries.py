@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from bandgraph.functions import vectors as V
 from bandgraph.operators import dependence as D, evaluate as E, graph as G, matrix_cluster as M, panel as P, scores as S, similarity as SIM, transforms as T, wavelets as W
-from bandgraph.plans import experiments as X
+from bandgraph.plans import experiments as X, grid as G_
 from bandgraph.session import cut, table
 from bandgraph.sources import readers as R
 
@@ -278,6 +278,48 @@ def _clusterer(name: str, score=None, **options):
     return query
 
 
+def _unrolled_mcl(rounds: int):
+    def query(spark, d):
+        e, _ = edges(spark, d)
+        flow = G.start_flow(rounded(e, "w"), entities(spark, d))
+        for _ in range(rounds):
+            flow = cut(rounded(G.mcl_step(flow, 1.8, 1e-3), "p", places=9))
+        return rounded(flow, "p", places=5)
+
+    return query
+
+
+def q_partition_agreement(spark, d):
+    """Agreement of two partitions of the same entities: by components and by account balance."""
+    one, two = G.assigned(G.components(edges(spark, d)[0]), entities(spark, d)), assignments(spark, d)
+    both = E.matched(one, two)
+    return rounded(E.agreement(E.contingency(both, "archived", "current")), "ari", "nmi")
+
+
+def q_sub_universe(spark, d):
+    """Similarities of the entities of one region, sliced from all."""
+    kept = industries(spark, d, "n_regionkey").where("industry = '1'")
+    return _spread(SIM.restricted(similarities(spark, d)[0], kept))
+
+
+def q_louvain(spark, d):
+    """Louvain on the thresholded graph."""
+    e, _ = edges(spark, d)
+    return M.run_clusterer(e.withColumn("trial", F.lit("louvain")), entities(spark, d), "louvain")
+
+
+def _landmarks(name: str, score=None, **options):
+    """Clusters from similarities with landmarks alone: no pair of other entities is made."""
+
+    def query(spark, d):
+        bands = unit_bands(spark, d)
+        sim = SIM.with_landmarks(bands, M.chosen_landmarks(entities(spark, d), options["n_clusters"], options["landmarks"]))
+        w = score(sim) if score else S.signed_score(sim, STEP, NEGATIVE)
+        return M.run_clusterer(cut(w.withColumn("trial", F.lit(name))), entities(spark, d), name, **options)
+
+    return query
+
+
 def _plain(sim):
     return S.dense_score(sim, STEP)
 
@@ -302,6 +344,12 @@ def q_trial_shard(spark, d):
     return X.chosen(X.trials(spark, AXES, CLUSTERERS), None, 3, 1).select("index", "trial_id")
 
 
+def q_grid_expansion(spark, d):
+    """The grid of two wavelets, three levels, four clusterers: the second shard of three, its first 20 trials."""
+    axes = {"wavelet": ["sym2", "db4"], "levels": [2, 3, 4], "gamma": [0.3, 0.35], "n_clusters": [10, 25], "top_k": [8, 16], "inflation": [1.4, 1.8]}
+    return G_.expanded(spark, axes, ["dense_spectral_power", "knn_spectral", "mcl", "connected_components"], None, 3, 1, 20)
+
+
 def _trend_rows(spark, d):
     rows = table(spark, d, "lineitem").where("l_linenumber BETWEEN 2 AND 6")
     return rows.groupBy(F.col("l_returnflag").alias("operator"), F.col("l_linenumber").alias("level")).agg(F.round(F.avg("l_discount"), 9).alias("ari"))
@@ -337,7 +385,7 @@ QUERIES = {
     "connected_components": q_connected_components, "mcl_iteration": q_mcl_iteration, "mcl_clusters": q_mcl_clusters,
     "spectral_power": _clusterer("dense_spectral_power", _plain, n_clusters=5), "spectral_assign": _clusterer("dense_spectral_assign", _plain, n_clusters=5),
     "spectral_signed_dual": _clusterer("dense_spectral_signed_dual_power", n_clusters=5), "spectral_knn": _clusterer("knn_spectral", _plain, n_clusters=5, k=8),
-    "nystrom": _clusterer("nystrom_spectral_power", _plain, n_clusters=5, landmarks=40), "nystrom_signed_dual": _clusterer("nystrom_spectral_signed_dual_power", n_clusters=5, landmarks=40),
-    "kmeans_rows": _clusterer("dense_kmeans", _plain, n_clusters=5), "agglomerative": _clusterer("dense_agglomerative", _plain, n_clusters=5), "louvain": _clusterer("louvain", _plain),
-    "embedding_clusters": q_embedding_clusters, "trial_grid": q_trial_grid, "trial_shard": q_trial_shard, "monotonicity": q_monotonicity, "pivot_levels": q_pivot_levels, "combine_runs": q_combine_runs,
+    "nystrom": _landmarks("nystrom_spectral_power", _plain, n_clusters=5, landmarks=40), "nystrom_signed_dual": _landmarks("nystrom_spectral_signed_dual_power", n_clusters=5, landmarks=40),
+    "kmeans_rows": _clusterer("dense_kmeans", _plain, n_clusters=5), "agglomerative": _clusterer("dense_agglomerative", _plain, n_clusters=5), "louvain": q_louvain, "mcl_three_rounds": _unrolled_mcl(3), "partition_agreement": q_partition_agreement, "sub_universe": q_sub_universe,
+    "embedding_clusters": q_embedding_clusters, "trial_grid": q_trial_grid, "grid_expansion": q_grid_expansion, "trial_shard": q_trial_shard, "monotonicity": q_monotonicity, "pivot_levels": q_pivot_levels, "combine_runs": q_combine_runs,
 }

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import csv
+import io
+import json
+from collections.abc import Iterator
 from pathlib import Path
 
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -50,30 +55,79 @@ def calendar(rows: DataFrame, exchange: str = "SSE") -> DataFrame:
     return days.select(F.try_to_timestamp(F.col("cal_date").cast("string"), F.lit("yyyyMMdd")).alias("t")).where("t IS NOT NULL").distinct()
 
 
-def series_directory(spark: SparkSession, directory: str, start: str | None = None, end: str | None = None, days: DataFrame | None = None, limit: int | None = None, encoding: str = "utf-8") -> DataFrame:
-    """The panel of a folder of CSV files, one entity each, read in one scan.
-
-    Columns are found by alias; without a date column the first is it, without a close column the result is an error. A value
+def _series(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(file, row, date, close, code) as text of files (file, content), each in its own encoding and with its own header."""
+    names = ["file", "row", "date", "close", "code"]
+    for files in batches:
+        for file, content in zip(files.file, files.content, strict=True):
+            for encoding in ENCODINGS:
+                try:
+                    text = bytes(content).decode(encoding).removeprefix("\ufeff")
+                    break
+                except UnicodeDecodeError as e:
+                    last = e
+            else:
+                raise RuntimeError(f"{file} is in none of {ENCODINGS}") from last
+            lines = csv.reader(io.StringIO(text))
+            head = next(lines, [])
+            at = {kind: next((i for i, c in enumerate(head) if c.strip().lower() in ALIASES[kind]), None) for kind in ALIASES}
+            if at["close"] is None:
+                continue
+            cell = lambda v, i: v[i].strip() if i is not None and i < len(v) else None
+            rows = [(file, k, cell(v, at["date"] or 0), cell(v, at["close"]), cell(v, at["code"])) for k, v in enumerate(lines)]
+            for k in range(0, len(rows), 50_000):
+                yield pd.DataFrame(rows[k : k + 50_000], columns=names)
+
+
+def series_directory(spark: SparkSession, directory: str, start: str | None = None, end: str | None = None, days: DataFrame | None = None, limit: int | None = None) -> DataFrame:
+    """The panel of a folder of CSV files, one entity each; each file has its own encoding and header.
+
+    Columns are found by alias; without a date column the first is it, a file without a close column gives nothing. A value
     is valid if its date parses and its price is a finite number over 0. The entity is the first valid code, else the file's
     name up to the first '_'. Of equal dates in a file the last counts, of equal entities the last file; series of one value go.
+    A folder that is missing or has no CSV file is a FileNotFoundError, one without any series a RuntimeError.
     """
-    files = spark.read.option("header", True).option("encoding", encoding).csv(f"{directory}/*.csv", mode="PERMISSIVE")
-    date, close, code = find_column(files.columns, "date", files.columns[0]), find_column(files.columns, "close"), find_column(files.columns, "code")
-    if close is None:
-        raise ValueError(f"no close column in {files.columns}")
-    name = F.regexp_extract(F.col("_metadata.file_name"), r"^([^_.]*)", 1)
-    rows = files.select(F.col("_metadata.file_name").alias("file"), name.alias("stem"), F.monotonically_increasing_id().alias("row"), parsed_date(F.col(f"`{date}`")).alias("t"), F.col(f"`{close}`").try_cast("double").alias("px"), (F.col(f"`{code}`") if code else F.lit(None).cast("string")).alias("code"))
+    try:
+        files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[cC][sS][vV]").load(directory)
+    except AnalysisException as e:
+        raise FileNotFoundError(directory) from e
+    files = files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
     if limit:
-        rows = rows.join(F.broadcast(rows.select("file").distinct().orderBy("file").limit(limit)), "file", "left_semi")
+        files = files.join(F.broadcast(files.select("file").orderBy("file").limit(limit)), "file", "left_semi")
+    if files.select("file").isEmpty():
+        raise FileNotFoundError(f"no CSV file in {directory}")
+    rows = files.mapInPandas(_series, "file string, row bigint, date string, close string, code string")
+    rows = rows.select("file", F.regexp_extract("file", r"^([^_.]*)", 1).alias("stem"), "row", parsed_date(F.col("date")).alias("t"), F.col("close").try_cast("double").alias("px"), "code")
     rows = rows.where("t IS NOT NULL AND px > 0 AND NOT isnan(px) AND px < double('infinity')")
     found = rows.groupBy("file").agg(F.coalesce(F.min_by("code", F.when(F.trim("code") != "", F.col("row"))), F.first("stem")).alias("code"))
-    values = rows.groupBy("file", "t").agg(F.max_by("px", "row").alias("px"))
-    values = values.join(found.select("file", entity_code(F.col("code")).alias("entity")), "file")
-    last = values.groupBy("entity").agg(F.max("file").alias("file"))
-    out = values.join(last, ["entity", "file"], "left_semi").select("entity", "t", "px")
-    out = out.where(F.col("t").between(start or "0001-01-01", end or "9999-12-31"))
-    out = P.aligned(out, days) if days is not None else out
-    return out.withColumn("n", F.count("*").over(Window.partitionBy("entity"))).where("n > 1").drop("n")
+    values = rows.groupBy("file", "t").agg(F.max_by("px", "row").alias("px")).where(F.col("t").between(start or "0001-01-01", end or "9999-12-31"))
+    values = values.join(found.select("file", entity_code(F.trim("code")).alias("entity")), "file").select("file", "entity", "t", "px")
+    long = values.withColumn("n", F.count("*").over(Window.partitionBy("file"))).where("n > 1").drop("n") if days is None else values
+    last = long.groupBy("entity").agg(F.max("file").alias("file"))
+    out = long.join(last, ["entity", "file"], "left_semi").select("entity", "t", "px")
+    if days is not None:
+        out = P.aligned(out, days)
+        out = out.withColumn("n", F.count("*").over(Window.partitionBy("entity"))).where("n > 1").drop("n")
+    if out.isEmpty():
+        raise RuntimeError(f"no series in {directory}")
+    return out
+
+
+def result_dirs(spark: SparkSession, root: str, prefer: str = "metrics") -> list[tuple[str, DataFrame, dict]]:
+    """(name, rows, manifest) of every run folder under root that has metrics.csv or summary.csv (the preferred first) or a
+    Parquet folder results; columns of CSV files are text."""
+    found, names = [], ["metrics.csv", "summary.csv"] if prefer == "metrics" else ["summary.csv", "metrics.csv"]
+    for folder in sorted(p for p in Path(root).iterdir() if p.is_dir()):
+        file = next((folder / n for n in names if (folder / n).exists()), None)
+        if file:
+            rows = spark.read.csv(str(file), header=True)
+        elif (folder / "results").exists():
+            rows, file = spark.read.parquet(str(folder / "results")), folder / "results"
+        else:
+            continue
+        manifest = folder / "run_manifest.json"
+        found.append((folder.name, rows.withColumn("_source_file", F.lit(str(file))).withColumn("_result_dir", F.lit(str(folder))), json.loads(manifest.read_text(encoding="utf-8")) if manifest.exists() else {}))
+    return found
 
 
 def price_panel(spark: SparkSession, path: str, start: str | None = None, end: str | None = None, prefer_parquet: bool = True) -> DataFrame:

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import csv
 import json
 import math
 import platform
+from importlib import metadata
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from bandgraph.session import delete
+
 
 def json_safe(x):
     """x in what JSON has: numbers of numpy as plain ones, paths and times as text, numbers that aren't finite as null."""
@@ -35,6 +39,28 @@ def write_csv(df: DataFrame, path: str | Path) -> None:
     df.toPandas().to_csv(path, index=False, encoding="utf-8-sig")
 
 
+def write_rows_csv(rows: list[dict], path: str | Path) -> None:
+    """A driver's list of rows as CSV with a byte order mark; columns in order of their first row, absent values blank."""
+    Path(path).parent.mkdir(parents=True, exist_ok=True)
+    names = list(dict.fromkeys(k for r in rows for k in r))
+    with Path(path).open("w", encoding="utf-8-sig", newline="") as f:
+        out = csv.DictWriter(f, names)
+        out.writeheader()
+        out.writerows({k: json.dumps(v) if isinstance(v, (list, dict)) else v for k, v in json_safe(r).items()} for r in rows)
+
+
+def write_yaml(value: dict, path: str | Path) -> None:
+    import yaml
+
+    Path(path).parent.mkdir(parents=True, exist_ok=True)
+    Path(path).write_text(yaml.safe_dump(json_safe(value), allow_unicode=True, sort_keys=False), encoding="utf-8")
+
+
+def write_lines(rows: DataFrame, path: str, mode: str = "append") -> None:
+    """Rows as JSON lines."""
+    rows.write.mode(mode).json(path)
+
+
 def write_rows(df: DataFrame, path: str, by: tuple[str, ...] = (), mode: str = "overwrite") -> None:
     df.write.mode(mode).partitionBy(*by).parquet(path)
 
@@ -48,10 +74,14 @@ def append_rows(df: DataFrame, path: str, schema: str) -> None:
 
 def write_run(metrics: dict, assignments: DataFrame, folder: str | Path, manifest: dict) -> None:
     folder = Path(folder)
-    write_json(metrics, folder / "metrics.json")
-    write_csv(assignments.sparkSession.createDataFrame([{k: str(v) for k, v in metrics.items()}]), folder / "metrics.csv")
     write_csv(assignments, folder / "cluster_assignments.csv")
+    write_rows_csv([metrics], folder / "metrics.csv")
     write_json(manifest, folder / "run_manifest.json")
+    write_json(metrics, folder / "metrics.json")  # the last, as it tells that a run is done
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    delete(spark, path)
 
 
 def sha256(spark: SparkSession, path: str) -> DataFrame:
@@ -60,7 +90,13 @@ def sha256(spark: SparkSession, path: str) -> DataFrame:
 
 
 def environment(spark: SparkSession) -> dict:
-    return {"spark": spark.version, "python": platform.python_version(), "platform": platform.platform(), "master": spark.sparkContext.master}
+    versions = {}
+    for name in ("numpy", "pandas", "pyarrow", "py4j"):
+        try:
+            versions[name] = metadata.version(name)
+        except metadata.PackageNotFoundError:
+            versions[name] = None
+    return {"versions": versions, "spark": spark.version, "python": platform.python_version(), "platform": platform.platform(), "master": spark.sparkContext.master}
 
 
 def pivoted(rows: DataFrame, value: str, by: str = "operator") -> DataFrame:

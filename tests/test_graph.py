@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from bandgraph.functions import vectors as V
-from bandgraph.operators import dependence as D, evaluate as E, graph as G, matrix_cluster as M, scores as S, similarity as SIM, wavelets as W
+from bandgraph.operators import dependence as D, evaluate as E, graph as G, matrix_cluster as M, ranks, scores as S, similarity as SIM, wavelets as W
 from bandgraph.params import check_signed
 from bandgraph.plans import experiments as X
 
@@ -109,15 +109,14 @@ def planted(k=3, n=8, seed=9):
     return truth, s
 
 
-@pytest.mark.parametrize("name", [n for n in M.MATRIX])
+@pytest.mark.parametrize("name", [*M.MATRIX, *M.LANDMARK])
 def test_matrix_clusterers_recover_blocks(spark, name):
     truth, s = planted()
     i, j = np.triu_indices(len(s), 1)
     edges = spark.createDataFrame([("t", int(p), int(q), float(s[p, q])) for p, q in zip(i, j, strict=True)], "trial string, i long, j long, w double")
     ids = spark.createDataFrame([(k,) for k in range(len(s))], "entity long")
     options = {} if name == "louvain" else {"n_clusters": 3}
-    if name == "knn_spectral":
-        options["k"] = 7
+    options |= {"k": 7} if name == "knn_spectral" else {"landmarks": 9} if name in M.LANDMARK else {}
     got = M.run_clusterer(edges, ids, name, **options).toPandas().sort_values("entity").cluster_id.tolist()
     assert len(set(zip(truth.tolist(), got, strict=True))) == 3 == len(set(got)), got
 
@@ -142,3 +141,68 @@ def test_trials(spark):
     assert [r["index"] for r in X.chosen(grid, None, 3, 1).collect()] == [1, 4]
     with pytest.raises(RuntimeError):
         X.require(X.gate({"n": 3}, {"n": 4}))
+
+
+def test_landmarks_of_two_trials_and_many_clusters(spark):
+    truth, s = planted()
+    i, j = np.triu_indices(len(s), 1)
+    rows = [(t, int(p), int(q), float(s[p, q])) for t in ("a", "b") for p, q in zip(i, j, strict=True)]
+    ids = spark.createDataFrame([(k,) for k in range(len(s))], "entity long")
+    got = M.run_clusterer(spark.createDataFrame(rows, "trial string, i long, j long, w double"), ids, "nystrom_spectral_power", n_clusters=3, landmarks=24).toPandas()
+    for _, one in got.groupby("trial"):
+        assert len(one) == len(s) and len(set(zip(truth.tolist(), one.sort_values("entity").cluster_id.tolist(), strict=True))) == 3
+    assert len(M.chosen_landmarks(ids, 3, 9)) == 9 and M.chosen_landmarks(ids, 3, 9) == M.chosen_landmarks(ids.orderBy(F.desc("entity")), 3, 9)
+
+
+def test_similarities_with_landmarks_and_slices(spark):
+    x = np.random.default_rng(7).normal(size=(9, 2, 6))
+    x /= np.sqrt((x**2).sum(-1, keepdims=True))
+    df = spark.createDataFrame([(i, b.tolist()) for i, b in enumerate(x)], "entity long, bands array<array<double>>")
+    got = {(r.i, r.j): r.s for r in SIM.with_landmarks(df, [2, 5]).collect()}
+    assert got.keys() == {(i, j) for i in range(9) for j in (2, 5) if i != j} and all(np.allclose(v, [x[i, b] @ x[j, b] for b in (0, 1)]) for (i, j), v in got.items())
+    sim = SIM.all_pairs(df)
+    part = {(r.i, r.j): r.s for r in SIM.restricted(sim, df.where("entity % 2 = 0")).collect()}
+    assert part == {(r.i, r.j): r.s for r in sim.collect() if r.i % 2 == r.j % 2 == 0}
+
+
+@pytest.mark.parametrize("small", [1_000_000, 0])
+def test_quantiles(spark, monkeypatch, small):
+    monkeypatch.setattr(ranks, "SMALL", small)
+    rng, shares = np.random.default_rng(3), [0.0, 0.01, 0.25, 0.5, 0.9, 0.99, 1.0]
+    for x in (rng.normal(size=3_000), np.round(rng.normal(size=900), 1), np.r_[np.zeros(500), rng.random(300) * 1e-300, 1e300], np.array([4.5])):
+        n = rng.integers(1, 4, len(x))
+        df = spark.createDataFrame([(float(a), int(b)) for a, b in zip(x, n, strict=True)] + [(None, 3)], "x double, n long")
+        assert np.allclose(ranks.quantiles(df, shares), np.quantile(np.repeat(x, n), shares), rtol=1e-12, atol=0)
+    assert ranks.quantiles(df.where("x < 0"), [0.5]) == [None]
+
+
+def test_places_and_ranks(spark):
+    rng = np.random.default_rng(4)
+    x = np.round(rng.normal(size=400), 1)
+    df = spark.createDataFrame([(int(k % 2), float(v), int(k)) for k, v in enumerate(x)], "g int, x double, i long")
+    got = ranks.ranked(df, "g", "x", ("i",)).toPandas()
+    for _, one in got.groupby("g"):
+        one = one.sort_values(["x", "i"])
+        assert one.place.tolist() == list(range(len(one))) and (one["rank"] == one.x.rank()).all() and (one["size"] == len(one)).all()
+
+
+def test_scores_from_kept_terms_are_those_made_alone(spark):
+    x = np.random.default_rng(8).uniform(-1, 1, size=(60, 4))
+    sim = spark.createDataFrame([(k, k + 1, [float(v) for v in row]) for k, row in enumerate(x)], "i long, j long, s array<double>")
+    kept = S.signed_scores(S.signed_terms(sim, 1.25).cache(), 1.5, S.PRESETS).orderBy("i").toPandas()
+    for name, (reducer, weighting) in S.PRESETS.items():
+        alone = S.signed_score(sim, 1.5, 1.25, reducer, weighting).orderBy("i").toPandas().w
+        assert (alone == kept[name]).all(), name  # bit by bit
+
+
+def test_power_iteration_and_matched_partitions(spark):
+    truth, s = planted()
+    i, j = np.triu_indices(len(s), 1)
+    edges = spark.createDataFrame([(int(p), int(q), float(s[p, q] > 0.5)) for p, q in zip(i, j, strict=True)], "i long, j long, w double")
+    got = M.power_iteration(edges, 3).orderBy("entity").toPandas()
+    assert len(got) == len(s)
+    a = spark.createDataFrame([(1, "x"), (2, "y")], "entity long, cluster_id string")
+    assert E.matched(a, a).count() == 2
+    for bad in (a.union(a), a.where("entity = 1")):
+        with pytest.raises(ValueError):
+            E.matched(a, bad)

@@ -16,6 +16,49 @@ def test_series_directory(spark, tmp_path):
     assert got == [("000001", 1, 1.5), ("000001", 2, 2.5), ("000002", 1, 4.0), ("000002", 3, 5.0)]
 
 
+def test_series_files_have_their_own_encodings_and_headers(spark, tmp_path):
+    (tmp_path / "1_a.csv").write_bytes("交易日期,收盘价,股票代码\n2024-01-01,1.5,1.SZ\n2024-01-02,2,1.SZ\n".encode("gbk"))
+    (tmp_path / "2_b.CSV").write_text("\ufeffcode,when,close,date\n2.SZ,x,3,20240101\n2.SZ,y,4,20240102\n", encoding="utf-8")
+    (tmp_path / "3_c.csv").write_text("date,price\n20240101,3\n20240102,4\n")
+    (tmp_path / "4_d.csv").write_text('day,"close"\r\n"20240101","7"\r\n20240102,8\r\n')
+    got = sorted((r.entity, r.t.day, r.px) for r in R.series_directory(spark, str(tmp_path)).collect())
+    assert got == [("000001", 1, 1.5), ("000001", 2, 2.0), ("000002", 1, 3.0), ("000002", 2, 4.0), ("000004", 1, 7.0), ("000004", 2, 8.0)]
+    assert {r.entity for r in R.series_directory(spark, str(tmp_path), limit=1).collect()} == {"000001"}
+    (tmp_path / "empty").mkdir()
+    for path in ("empty", "none"):
+        with pytest.raises(FileNotFoundError):
+            R.series_directory(spark, str(tmp_path / path))
+    (tmp_path / "empty" / "x.csv").write_text("date,price\n20240101,3\n")
+    with pytest.raises(RuntimeError):
+        R.series_directory(spark, str(tmp_path / "empty"))
+
+
+def test_labels_after_colons(spark):
+    from bandgraph.functions.keys import label_after_colon
+
+    rows = [("a: b", "n"), ("a： b: c", "n"), ("x：y", "n"), ("x:", "n"), ("", "SW1 name"), (None, "SW2_x"), (None, None)]
+    got = [r.o for r in spark.createDataFrame(rows, "d string, n string").coalesce(1).select(label_after_colon(F.col("d"), F.col("n")).alias("o")).collect()]
+    assert got == ["b", "c", "y", "", "name", "_x", ""]
+
+
+def test_industry_maps_and_checks(spark):
+    from bandgraph.operators import evaluate as E, transforms as T
+
+    info = spark.createDataFrame([("1", "1.SZ", "UNK"), ("2", "2.SZ", "Banks"), ("2", "2.SZ", "Steel"), ("3", "3.SZ", "nan")], "symbol string, ts_code string, industry string").coalesce(1)
+    assert {r.code: r.industry for r in T.industry_map(info, strict=False).collect()} == {"000001": "UNK", "000002": "Steel"}
+    with pytest.raises(ValueError):
+        T.industry_map(info)
+    ids = spark.createDataFrame([(k,) for k in range(4)], "entity long")
+    good = [(0, "a"), (1, "a"), (2, "b"), (3, "b")]
+    frame = lambda rows: spark.createDataFrame(rows, "entity long, industry string")
+    T.check_industries(ids, frame(good))
+    for bad in (good[:3], [*good[:3], (3, "unk")], [*good[:3], (3, "c")]):
+        with pytest.raises(ValueError):
+            T.check_industries(ids, frame(bad))
+    rows = spark.createDataFrame([("2.SZ",), ("1",), ("",), ("000002",)], "entity string").coalesce(1)
+    assert [r.entity for r in E.normal_universe(rows).collect()] == ["000002", "000001"]
+
+
 def test_calendar_and_panel(spark, tmp_path):
     (tmp_path / "cal.csv").write_text("exchange,cal_date,is_open\nSSE,20240102,1\nSSE,20240103,0\nXX,20240104,1\nSSE,bad,1\n")
     assert [r.t.day for r in R.trade_calendar(spark, str(tmp_path / "cal.csv")).collect()] == [2]

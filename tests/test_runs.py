@@ -6,7 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from bandgraph.params import Params
-from bandgraph.plans import experiments as X, queries as Q, runs
+from bandgraph.__main__ import main
+from bandgraph.plans import experiments as X, grid, queries as Q, runs
+from bandgraph.sources import readers as R, sinks
 
 
 @pytest.fixture(scope="module")
@@ -32,6 +34,79 @@ def test_grid_resumes(spark, panel, tmp_path):
     assert runs.run_grid(panel, grid, str(tmp_path / "r"), {}).count() == 3  # the failed one again
 
 
+def config_of(panel, tmp_path):
+    wide = panel.groupBy("t").pivot("entity").agg(F.first("px")).withColumn("t", F.date_format("t", "yyyyMMdd")).orderBy("t")
+    wide.toPandas().to_csv(tmp_path / "p.csv", index=False)
+    ids = sorted(r.entity for r in panel.select("entity").distinct().collect())
+    (tmp_path / "info.csv").write_text("symbol,ts_code,industry\n" + "".join(f"{i},{i}.SZ,{'ab'[k % 2]}\n" for k, i in enumerate(ids)))
+    universe = [{"id": f"X_{lv}_{c}", "class": lv, "name": c, "description": f"d: {c}", "category": "EQUITY", "symbols": [str(i) for k, i in enumerate(ids) if "ab"[k % 2] == c]} for lv in ("SW1", "SW2", "SW3") for c in "ab"]
+    (tmp_path / "u.json").write_text(json.dumps(universe))
+    config = {"data": {"panel_path": str(tmp_path / "p.csv"), "metadata_path": str(tmp_path / "info.csv"), "universe_path": str(tmp_path / "u.json")}, "params": {"wavelet": "sym2", "level": 2}}
+    sinks.write_yaml(config, tmp_path / "c.yaml")
+    return str(tmp_path / "c.yaml")
+
+
+def test_commands(spark, panel, tmp_path, capsys):
+    config, out = config_of(panel, tmp_path), tmp_path / "runs"
+    main(["sweep", config, str(out / "s"), "--levels", "2", "--inflations", "1.4", "1.8"])
+    cell = out / "s" / "level_2_inflation_1p4"
+    assert {p.name for p in cell.iterdir()} == {"metrics.json", "metrics.csv", "cluster_assignments.csv", "run_manifest.json"} and (out / "s" / "config_level_2_inflation_1p8.yaml").exists()
+    row = json.loads((cell / "metrics.json").read_text())
+    assert row["ari"] is not None and row["return_cols"] == 10 and row["price_cols"] == 10 and row["level"] == 2
+    (cell / "metrics.json").write_text(json.dumps(row | {"ari": 7.0}))
+    main(["sweep", config, str(out / "s"), "--levels", "2", "--inflations", "1.4", "1.8"])  # nothing is run again
+    assert "7.0" in (out / "s" / "summary.csv").read_text(encoding="utf-8-sig")
+    args = ["grid", config, str(out / "g"), "--wavelet", "sym2", "--levels", "2", "--clusterers", "dense_kmeans", "connected_components", "--n-clusters", "2", "3", "--window-id", "w1", "--write-best-assignments"]
+    main([*args, "--num-shards", "2", "--shard-index", "0"])
+    assert spark.read.parquet(str(out / "g" / "results")).count() == 2
+    main(args)
+    rows = spark.read.parquet(str(out / "g" / "results")).toPandas()
+    assert len(rows) == 3 and set(rows.status) == {"ok"} and set(rows.window_id) == {"w1"} and rows.SW1_ari.notna().all() and (rows.n_price_cols == 10).all() and (rows.assignments_path != "").any()
+    main(["combine", str(out), str(tmp_path / "all.csv")])
+    assert "w1_" in (tmp_path / "all.csv").read_text(encoding="utf-8-sig")
+    main(["ablation", config, str(out / "a"), "--levels", "2", "3", "--clusters", "3"])
+    assert {"metrics.csv", "monotonicity.csv", "baseline_gate.json", "evidence_index.json", "run_manifest.json", "SW1_ari_pivot.csv", "SW3_nmi_pivot.csv"} <= {p.name for p in (out / "a").iterdir()}
+    assert json.loads((out / "a" / "evidence_index.json").read_text())["status"] == "complete"
+    main(["controls", config, str(out / "c"), "--dependence-bins", "4"])
+    manifest = json.loads((out / "c" / "run_manifest.json").read_text())
+    assert [b["branch"] for b in manifest["branches"]] == ["raw", "market_residual_internal", "sequential", "industry_only"] and (out / "c" / "dependence" / "raw" / "cross_band_mi.csv").exists()
+    # A gate that isn't passed leaves its evidence.
+    text = json.loads(json.dumps(R.load_config(config))) | {"gate": {"n_communities": -1}}
+    sinks.write_yaml(text, tmp_path / "gated.yaml")
+    with pytest.raises(RuntimeError):
+        main(["ablation", str(tmp_path / "gated.yaml"), str(out / "b"), "--levels", "2", "--clusters", "3"])
+    assert json.loads((out / "b" / "run_manifest.json").read_text())["status"] == "blocked_reference_gate" and not json.loads((out / "b" / "baseline_gate.json").read_text())["passed"]
+    with pytest.raises(RuntimeError):
+        runs.accepted_gate(str(out / "b" / "baseline_gate.json"), True)
+    with pytest.raises(FileNotFoundError):
+        runs.accepted_gate(str(out / "none.json"), True)
+
+
+def test_archive_and_reference_gates(spark, panel):
+    sim = runs.BandModel(panel, Params(wavelet="sym2", level=2)).similarities(True)
+    mean = runs.D.mean_off_diagonal(runs.D.dependence(sim, 4)).first()[0]
+    assert runs.archive_gate(sim, sim, mean, 4)["passed"]
+    other = sim.withColumn("s", F.transform("s", lambda x: x + 1e-3))
+    assert not runs.archive_gate(sim, other, mean, 4)["checks"]["bands_within_tolerance"] and not runs.archive_gate(sim, sim.where("i < 3"), mean, 4)["checks"]["same_pairs"]
+    rows = spark.createDataFrame([(lv, b, 9, "sym2") for lv in (2, 3) for b in ("raw", "x")], "level long, branch string, n_entities long, wavelet string")
+    manifest = {"formal": True, "status": "complete", "operator_reference_gate": {"passed": True}, "archive_gate": {"passed": True}}
+    assert X.reference_run_gate(manifest, rows, ("raw", "x"), 9, (2, 3), {"wavelet": "sym2"})["passed"]
+    assert not X.reference_run_gate(manifest | {"formal": False}, rows, ("raw", "x"), 9, (2, 3))["passed"]
+
+
+def test_grid_axes_shards_and_ids(spark):
+    whole = grid.expanded(spark, {"levels": [2, 3], "wavelet": ["sym2"], "gamma": [0.3, 0.4], "n_clusters": [5, 6]}, list(grid.CLUSTERERS)).collect()
+    assert len(whole) == 2 * (4 + 4 + 2 + 4 + 4 + 4 + 2 + 2 + 1 + 9 + 1) and len({r.trial_id for r in whole}) == len(whole)
+    shards = [grid.expanded(spark, {"levels": [2, 3], "wavelet": ["sym2"]}, ["mcl"], None, 3, k).collect() for k in range(3)]
+    assert sorted(r["index"] for s in shards for r in s) == list(range(18))
+    ids = spark.createDataFrame([(whole[3].trial_id,)], "trial_id string")
+    assert [r.trial_id for r in grid.expanded(spark, {"levels": [2, 3], "wavelet": ["sym2"], "gamma": [0.3, 0.4], "n_clusters": [5, 6]}, list(grid.CLUSTERERS), ids).collect()] == [whole[3].trial_id]
+    for bad in ({"shards": 0}, {"shards": 2, "shard": 2}, {"axes": {"no": [1]}}, {"clusterers": ["no"]}):
+        with pytest.raises(ValueError):
+            grid.expanded(spark, **bad)
+    assert X.trial_id({"a": 1}, {"kmeans_threads": 4}) == X.trial_id({"a": 1}, {"kmeans_threads": 8})
+
+
 def test_ablation_and_controls(spark, panel):
     labels = Q.industries(spark, "/root/testdata/sf0.001", "n_regionkey").select(F.lpad(F.col("entity").cast("string"), 6, "0").alias("entity"), F.col("industry").alias("label"), F.lit(False).alias("is_conflict"))
     got = runs.operator_ablation(panel, Params(wavelet="sym2"), [2], labels, 3)
