@@ -165,7 +165,7 @@ grid AS (SELECT fi * 4 + ci AS index, left(sha1('{"cluster":' || cj || ',"featur
 ORACLE["trial_grid"] = f"WITH {GRID} SELECT index, trial_id, feature, cluster FROM grid"
 ORACLE["trial_shard"] = f"WITH {GRID} SELECT index, trial_id FROM grid WHERE index % 3 = 1"
 ORACLE["grid_expansion"] = """WITH feat AS (SELECT row_number() OVER (ORDER BY wi, l) - 1 AS fi, '{"k": 0.0, "levels": ' || l || ', "q_threshold": 0.996, "return_mode": "raw", "wavelet": "' || w || '", "wavelet_transform": "modwt", "winsor_limit": 0.03}' AS feature FROM (VALUES (0, 'sym2'), (1, 'db4')) a(wi, w), (VALUES (2), (3), (4)) b(l)),
-power AS (SELECT 1 AS c, g::DOUBLE * 100 + n AS o, '{"assign_labels": "kmeans", "clusterer": "dense_spectral_power", "gamma": ' || g || ', "n_clusters": ' || n || ', "seed": 42}' AS cluster FROM (VALUES ('0.3'), ('0.35')) a(g), (VALUES (10), (25)) b(n)),
+power AS (SELECT 1 AS c, g::DOUBLE * 1000 + n AS o, '{"assign_labels": "kmeans", "clusterer": "dense_spectral_power", "gamma": ' || g || ', "n_clusters": ' || n || ', "seed": 42}' AS cluster FROM (VALUES ('0.3'), ('0.35')) a(g), (VALUES (10), (25)) b(n)),
 knn AS (SELECT 2, t * 10000 + g::DOUBLE * 1000 + n, '{"assign_labels": "kmeans", "clusterer": "knn_spectral", "gamma": ' || g || ', "n_clusters": ' || n || ', "seed": 42, "top_k": ' || t || '}' FROM (VALUES (8), (16)) c(t), (VALUES ('0.3'), ('0.35')) a(g), (VALUES (10), (25)) b(n)),
 mcl AS (SELECT 3, i::DOUBLE, '{"clusterer": "mcl", "inflation": ' || i || ', "pruning_threshold": 0.05, "seed": 42}' FROM (VALUES ('1.4'), ('1.8')) a(i)),
 clus AS (SELECT cluster, row_number() OVER (ORDER BY c, o) - 1 AS ci FROM (SELECT * FROM power UNION ALL SELECT * FROM knn UNION ALL SELECT * FROM mcl UNION ALL SELECT 4, 0, '{"clusterer": "connected_components", "seed": 42}')),

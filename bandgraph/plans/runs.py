@@ -226,9 +226,14 @@ def run_grid(panel: DataFrame, grid: DataFrame, results: str, tables: dict[str,
     return spark.read.parquet(results)
 
 
-def operator_ablation(panel: DataFrame, params: Params, levels: list[int], labels: DataFrame, n_clusters: int = 25, wanted: dict | None = None) -> DataFrame:
-    """(operator, level, ari, nmi, ...) for every reducer preset and level; wanted is a gate on the first level's max_weighted."""
-    rows = []
+def operator_ablation(panel: DataFrame, params: Params, levels: list[int], labels: DataFrame | dict[str, DataFrame], n_clusters: int = 25, wanted: dict | None = None) -> DataFrame:
+    """(operator, level, ari, nmi, ...) for every reducer preset and level; wanted is a gate on the first level's max_weighted.
+
+    With several label tables by name, agreement columns have the name before them; the partitions are made once.
+    """
+    tables, rows = labels if isinstance(labels, dict) else {"": labels}, []
+    named = lambda name, c: f"{name}_{c}" if name else c
+    agreed = ("ari", "nmi", "n", "n_labels", "n_clusters")
     for level in sorted(set(levels)):
         model = BandModel(panel, replace(params, level=level), "raw")
         terms = cut(S.signed_terms(model.similarities(), params.negative_weight))
@@ -236,12 +241,17 @@ def operator_ablation(panel: DataFrame, params: Params, levels: list[int], label
         each = reduce(DataFrame.unionByName, (scores.select(F.lit(o).alias("trial"), "i", "j", F.col(o).alias("w")) for o in S.PRESETS))
         got = cut(M.run_clusterer(each, model.entities(), "dense_spectral_signed_dual_power", n_clusters=min(n_clusters, model.entities().count()), seed=params.seed))
         for o in S.PRESETS:
-            one = got.where(F.col("trial") == o)
-            used = E.aligned_labels(one.select("entity", "cluster_id"), labels).where("is_labeled")
-            rows.append({"operator": o, "level": level} | E.agreement(E.contingency(used)).first().asDict() | E.cluster_stats(one).first().asDict())
+            one, row = got.where(F.col("trial") == o), {"operator": o, "level": level}
+            for name, table in tables.items():
+                used = E.aligned_labels(one.select("entity", "cluster_id"), table).where("is_labeled")
+                found = E.agreement(E.contingency(used)).first().asDict()
+                row |= {named(name, c): found[c] for c in agreed}
+            rows.append(row | E.cluster_stats(one).first().asDict())
         if wanted and level == min(levels):
             X.require(X.gate(next(r for r in rows if r["operator"] == "max_weighted"), wanted))
-    return panel.sparkSession.createDataFrame([tuple(r.values()) for r in rows], "operator string, level long, ari double, nmi double, n long, n_labels long, n_clusters long, n_communities long, n_singletons long, largest long, median_size double")
+        model.release()
+    kinds = ", ".join(f"{named(name, c)} {'double' if c in ('ari', 'nmi') else 'long'}" for name in tables for c in agreed)
+    return panel.sparkSession.createDataFrame([tuple(r.values()) for r in rows], f"operator string, level long, {kinds}, n_communities long, n_singletons long, largest long, median_size double")
 
 
 def factor_controls(panel: DataFrame, industries: DataFrame, params: Params, bins: int = 64) -> tuple[DataFrame, DataFrame]:
@@ -269,20 +279,14 @@ def ablation_to_files(panel: DataFrame, params: Params, levels: list[int], table
     spark, out, began = panel.sparkSession, Path(output), datetime.now().astimezone().isoformat()
     manifest = {"experiment": "operator_ablation", "started_at": began, "params": asdict(params), "levels": levels, "operators": {k: {"reducer": r, "layer_weighting": w} for k, (r, w) in S.PRESETS.items()}, "environment": sinks.environment(spark), "status": "running"}
     sinks.write_json(manifest, out / "run_manifest.json")
-    found = None
-    for name, labels in tables.items():
-        first = name == next(iter(tables))
-        try:
-            got = operator_ablation(panel, params, levels, labels, n_clusters, wanted if first else None)
-        except RuntimeError as e:
-            manifest |= {"status": "blocked_reference_gate", "failures": [str(e)]}
-            sinks.write_json({"passed": False, "error": str(e)}, out / "baseline_gate.json")
-            sinks.write_json({"status": manifest["status"], "manifest": str(out / "run_manifest.json")}, out / "evidence_index.json")
-            sinks.write_json(manifest, out / "run_manifest.json")
-            raise
-        got = got.withColumnsRenamed({"ari": f"{name}_ari", "nmi": f"{name}_nmi", "n": f"{name}_n", "n_labels": f"{name}_n_labels"})
-        found = got if found is None else found.join(got.select("operator", "level", *(c for c in got.columns if c.startswith(f"{name}_"))), ["operator", "level"])
-    found = cut(found)
+    try:
+        found = cut(operator_ablation(panel, params, levels, tables, n_clusters, wanted))
+    except RuntimeError as e:
+        manifest |= {"status": "blocked_reference_gate", "failures": [str(e)]}
+        sinks.write_json({"passed": False, "error": str(e)}, out / "baseline_gate.json")
+        sinks.write_json({"status": manifest["status"], "manifest": str(out / "run_manifest.json")}, out / "evidence_index.json")
+        sinks.write_json(manifest, out / "run_manifest.json")
+        raise
     sinks.write_json({"passed": True if wanted else None, "wanted": wanted}, out / "baseline_gate.json")
     sinks.write_csv(found.orderBy("operator", "level"), out / "metrics.csv")
     for name in tables:

@@ -46,40 +46,56 @@ def config_of(panel, tmp_path):
     return str(tmp_path / "c.yaml")
 
 
-def test_commands(spark, panel, tmp_path, capsys):
-    config, out = config_of(panel, tmp_path), tmp_path / "runs"
-    main(["sweep", config, str(out / "s"), "--levels", "2", "--inflations", "1.4", "1.8"])
-    cell = out / "s" / "level_2_inflation_1p4"
-    assert {p.name for p in cell.iterdir()} == {"metrics.json", "metrics.csv", "cluster_assignments.csv", "run_manifest.json"} and (out / "s" / "config_level_2_inflation_1p8.yaml").exists()
+@pytest.fixture(scope="module")
+def config(panel, tmp_path_factory):
+    return config_of(panel, tmp_path_factory.mktemp("config"))
+
+
+def test_sweep_command(spark, config, tmp_path):
+    args = ["sweep", config, str(tmp_path), "--levels", "2", "--inflations", "1.8"]
+    main(args)
+    cell = tmp_path / "level_2_inflation_1p8"
+    assert {p.name for p in cell.iterdir()} == {"metrics.json", "metrics.csv", "cluster_assignments.csv", "run_manifest.json"} and (tmp_path / "config_level_2_inflation_1p8.yaml").exists()
     row = json.loads((cell / "metrics.json").read_text())
     assert row["ari"] is not None and row["return_cols"] == 10 and row["price_cols"] == 10 and row["level"] == 2
     (cell / "metrics.json").write_text(json.dumps(row | {"ari": 7.0}))
-    main(["sweep", config, str(out / "s"), "--levels", "2", "--inflations", "1.4", "1.8"])  # nothing is run again
-    assert "7.0" in (out / "s" / "summary.csv").read_text(encoding="utf-8-sig")
-    args = ["grid", config, str(out / "g"), "--wavelet", "sym2", "--levels", "2", "--clusterers", "dense_kmeans", "connected_components", "--n-clusters", "2", "3", "--window-id", "w1", "--write-best-assignments"]
+    main(args)  # nothing is run again
+    assert "7.0" in (tmp_path / "summary.csv").read_text(encoding="utf-8-sig")
+
+
+def test_grid_and_combine_commands(spark, config, tmp_path):
+    args = ["grid", config, str(tmp_path / "r" / "g"), "--wavelet", "sym2", "--levels", "2", "--clusterers", "dense_kmeans", "connected_components", "--n-clusters", "3", "--window-id", "w1", "--write-best-assignments"]
     main([*args, "--num-shards", "2", "--shard-index", "0"])
-    assert spark.read.parquet(str(out / "g" / "results")).count() == 2
+    results = str(tmp_path / "r" / "g" / "results")
+    assert spark.read.parquet(results).count() == 1
     main(args)
-    rows = spark.read.parquet(str(out / "g" / "results")).toPandas()
-    assert len(rows) == 3 and set(rows.status) == {"ok"} and set(rows.window_id) == {"w1"} and rows.SW1_ari.notna().all() and (rows.n_price_cols == 10).all() and (rows.assignments_path != "").any()
-    main(["combine", str(out), str(tmp_path / "all.csv")])
+    rows = spark.read.parquet(results).toPandas()
+    assert len(rows) == 2 and set(rows.status) == {"ok"} and set(rows.window_id) == {"w1"} and rows.SW1_ari.notna().all() and (rows.n_price_cols == 10).all() and (rows.assignments_path != "").any()
+    main(["combine", str(tmp_path / "r"), str(tmp_path / "all.csv")])
     assert "w1_" in (tmp_path / "all.csv").read_text(encoding="utf-8-sig")
-    main(["ablation", config, str(out / "a"), "--levels", "2", "3", "--clusters", "3"])
-    assert {"metrics.csv", "monotonicity.csv", "baseline_gate.json", "evidence_index.json", "run_manifest.json", "SW1_ari_pivot.csv", "SW3_nmi_pivot.csv"} <= {p.name for p in (out / "a").iterdir()}
-    assert json.loads((out / "a" / "evidence_index.json").read_text())["status"] == "complete"
-    main(["controls", config, str(out / "c"), "--dependence-bins", "4"])
-    manifest = json.loads((out / "c" / "run_manifest.json").read_text())
-    assert [b["branch"] for b in manifest["branches"]] == ["raw", "market_residual_internal", "sequential", "industry_only"] and (out / "c" / "dependence" / "raw" / "cross_band_mi.csv").exists()
-    # A gate that isn't passed leaves its evidence.
-    text = json.loads(json.dumps(R.load_config(config))) | {"gate": {"n_communities": -1}}
-    sinks.write_yaml(text, tmp_path / "gated.yaml")
+
+
+def test_ablation_command(spark, config, tmp_path):
+    main(["ablation", config, str(tmp_path / "a"), "--levels", "2", "--clusters", "3"])
+    assert {"metrics.csv", "monotonicity.csv", "baseline_gate.json", "evidence_index.json", "run_manifest.json", "SW1_ari_pivot.csv", "SW3_nmi_pivot.csv"} <= {p.name for p in (tmp_path / "a").iterdir()}
+    assert json.loads((tmp_path / "a" / "evidence_index.json").read_text())["status"] == "complete"
+
+
+def test_a_gate_that_is_not_passed_leaves_its_evidence(spark, panel, tmp_path):
+    labels = Q.industries(spark, "/root/testdata/sf0.001", "n_regionkey").select(F.lpad(F.col("entity").cast("string"), 6, "0").alias("entity"), F.col("industry").alias("label"), F.lit(False).alias("is_conflict"))
     with pytest.raises(RuntimeError):
-        main(["ablation", str(tmp_path / "gated.yaml"), str(out / "b"), "--levels", "2", "--clusters", "3"])
-    assert json.loads((out / "b" / "run_manifest.json").read_text())["status"] == "blocked_reference_gate" and not json.loads((out / "b" / "baseline_gate.json").read_text())["passed"]
+        runs.ablation_to_files(panel, Params(wavelet="sym2"), [2], {"SW1": labels}, str(tmp_path), 3, {"n_communities": -1})
+    assert json.loads((tmp_path / "run_manifest.json").read_text())["status"] == "blocked_reference_gate" and not json.loads((tmp_path / "baseline_gate.json").read_text())["passed"]
     with pytest.raises(RuntimeError):
-        runs.accepted_gate(str(out / "b" / "baseline_gate.json"), True)
+        runs.accepted_gate(str(tmp_path / "baseline_gate.json"), True)
     with pytest.raises(FileNotFoundError):
-        runs.accepted_gate(str(out / "none.json"), True)
+        runs.accepted_gate(str(tmp_path / "none.json"), True)
+
+
+def test_controls_command(spark, config, tmp_path):
+    main(["controls", config, str(tmp_path), "--dependence-bins", "4"])
+    manifest = json.loads((tmp_path / "run_manifest.json").read_text())
+    assert [b["branch"] for b in manifest["branches"]] == ["raw", "market_residual_internal", "sequential", "industry_only"] and (tmp_path / "dependence" / "raw" / "cross_band_mi.csv").exists()
 
 
 def test_archive_and_reference_gates(spark, panel):
