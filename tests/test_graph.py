@@ -68,6 +68,37 @@ def test_pairs_by_blocks_and_sql_agree(spark):
             assert {r.j for r in pairs.withColumn("t", F.lit(1)).select("j").collect()} == set(range(1, 9))
 
 
+def test_pairs_made_anew(spark):
+    x = np.random.default_rng(8).normal(size=(11, 3, 5))
+    x /= np.sqrt((x**2).sum(-1, keepdims=True))
+    df = spark.createDataFrame([(f"e{i:02}", b.tolist()) for i, b in enumerate(x)], "entity string, bands array<array<double>>")
+    want = {(f"e{i:02}", f"e{j:02}"): [float(np.round(x[i, b] @ x[j, b], 9)) for b in range(3)] for i, j in combinations(range(11), 2)}
+    for block in (3, 100):
+        sim = SIM.Pairs(df, block, SIM.PLACES)
+        rows = sim.rows()
+        assert {(r.i, r.j): r.s for r in rows.collect()} == want
+        assert {(r.i, r.j) for r in sim.rows(over=0.1).collect()} == {k for k, s in want.items() if s[0] > 0.1 and max(s[1:]) > 0.1}
+        assert sim.threshold(0.9) == pytest.approx(S.threshold(rows, 11, 0.9).first().tau, abs=1e-15)
+        one, two = sim.summary(1).first(), SIM.matrix_summary(rows, 11, 1).first()
+        assert all(np.allclose(one[c], two[c], atol=1e-14, rtol=0) for c in two.asDict())
+    none = SIM.Pairs(df.where("entity = ''"), places=SIM.PLACES)
+    assert none.rows().count() == 0 and none.threshold(0.9) == 0.0 and none.summary(0).first()["mean"] is None
+
+
+@pytest.mark.parametrize("name", ["similarity_threshold", "matrix_summary", "adjacency", "sim_cosine", "sub_universe"])
+def test_no_table_of_all_pairs_is_written(spark, sf, name):
+    from pathlib import Path
+
+    from bandgraph.plans.queries import QUERIES
+    from bandgraph.session import shared_dir
+
+    folders = lambda: set(Path(shared_dir(spark)).glob("cut-*"))
+    before = folders()
+    QUERIES[name](spark, sf).count()
+    written = folders() - before
+    assert written and not any("s" in spark.read.parquet(str(f)).columns for f in written)
+
+
 def test_ranked_bands_are_spearman(spark):
     df = spark.createDataFrame([(0, [[1.0, 2.0, 3.0, 4.0]]), (1, [[4.0, 3.0, 2.0, 1.0]]), (2, [[1.0, 1.0, 2.0, 2.0]])], "entity long, bands array<array<double>>")
     got = {(r.i, r.j): r.s[0] for r in SIM.all_pairs(W.ranked_bands(df)).collect()}
