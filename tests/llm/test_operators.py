@@ -440,6 +440,20 @@ def test_scores_are_those_of_quantised_counts_in_either_form_of_the_filter(spark
         assert np.mean(np.isclose([x for _, x in got], [x for _, x in want], atol=1e-4)) > 0.95, most
 
 
+def test_weights_come_from_all_distinct_texts(spark):
+    import pyarrow as pa
+
+    rng = random.Random(59)
+    texts = [prose(rng, 1_500) if k % 2 else " ".join(f"r{k}x{i}" for i in range(1_500)) for k in range(240)]
+    df = docs(spark, [[k, t, None] for k, t in enumerate(texts + texts[:40])])
+    model, bits, _ = lm.fit(df)
+    again = lm.Model(model.bits, model.tokens, model.distinct, 0, 0).over(bits.value)
+    again.cut = model.cut
+    got = [again.parts(h, sizes, less=1) for _, _, h, sizes in lm.blocks(iter([pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])]))]
+    again.tune(*(np.concatenate(x) for x in zip(*got, strict=True)))
+    assert np.allclose(model.weights, again.weights, rtol=1e-9, atol=0)
+
+
 def test_language_model_of_nothing_and_of_a_long_text(spark):
     df = docs(spark, [(1, None, None), (2, "", None), (3, prose(random.Random(3), 30_000), None)], True)
     model, bits, words = lm.fit(df.where("doc_id < 0"))
