@@ -26,10 +26,20 @@ UNDETERMINED = "und"
 #: Signs of numbers that \w has and \d hasn't, such as fractions and Roman numerals; they are no letters.
 NUMERALS = "".join(c for c in map(chr, range(0x20000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
 WORD = re.compile(rf"[^\W\d_{NUMERALS}]{{1,{LETTERS}}}")
+#: Runs of letters and numerals, which re finds much faster than it looks up a class of a thousand signs.
+RUN = re.compile(r"[^\W\d_]+")
 #: Words scored at once, which bounds a worker's memory whatever the batch is.
 BLOCK = 100_000
 
 
+def words_of(text: str | None) -> list[str]:
+    """What WORD finds in the lower-case text; only runs with a numeral or of more than LETTERS letters are searched for it."""
+    found = RUN.findall((text or "").lower())
+    if not found or ("".join(found).isalpha() and max(map(len, found)) <= LETTERS):
+        return found
+    return [part for w in found for part in ([w] if len(w) <= LETTERS and w.isalpha() else WORD.findall(w))]
+
+
 def features(words: list[str]) -> np.ndarray:
     """Hashed features of lower-case words, [n, k]: the word itself (lexicon), affixes of 1 to 4 and n-grams of 1 to 3 letters; 0 is none."""
     n = len(words)
@@ -114,7 +124,7 @@ class Tagger:
         n = max(len(self.langs), 1)
         chains, label = [], []
         for text, lang in zip(texts, langs, strict=True):
-            w = WORD.findall(text.lower())
+            w = words_of(text)
             start = (len(w) * 7919 + len(text)) % max(len(w) - TRAIN_WORDS + 1, 1)
             if w := w[start : start + TRAIN_WORDS]:
                 chains.append(w)
@@ -194,7 +204,7 @@ class Scorer:
         while i < len(texts):
             found, total, first = [], 0, i
             while i < len(texts) and (total < BLOCK or not found):
-                found.append(WORD.findall((texts[i] or "").lower()))
+                found.append(words_of(texts[i]))
                 total += len(found[-1])
                 i += 1
             size = np.array([len(w) for w in found], np.int64)
@@ -221,7 +231,7 @@ def fit(docs: DataFrame, each: int = TRAIN_EACH) -> Tagger:
 
     def head(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:  # what fit() uses of a text, so that the driver gets little of a long one
-            yield pdf.assign(text=[" ".join((w := WORD.findall((t or "").lower()))[(k := (len(w) * 7919) % max(len(w) - TRAIN_WORDS + 1, 1)) : k + TRAIN_WORDS]) for t in pdf.text])
+            yield pdf.assign(text=[" ".join((w := words_of(t))[(k := (len(w) * 7919) % max(len(w) - TRAIN_WORDS + 1, 1)) : k + TRAIN_WORDS]) for t in pdf.text])
 
     pdf = got.mapInPandas(head, got.schema).toPandas().sort_values(["lang", "text"], kind="stable")
     return Tagger().fit(pdf.text.tolist(), pdf.lang.tolist())

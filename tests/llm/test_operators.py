@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 from itertools import combinations
 
@@ -484,6 +485,21 @@ def test_language(spark):
     assert {r.lang_pred for r in langid.identify(docs(spark, tests), langid.Tagger().fit([], [])).collect()} == {"und"}
 
 
+def test_words_are_found_fast_and_as_by_the_class_of_letters():
+    rng = random.Random(53)
+    odd = ["½abc", "abⅷcd²ef", "a" * 60, "Ünï٣x", "_a_b", "x" * 24 + "Ⅻ" + "y" * 30, "漢字仮名", "İstanbul", "12 ##", ""]
+    for _ in range(200):
+        text = " ".join(rng.choice(odd + WORDS) for _ in range(rng.randint(0, 20)))
+        assert langid.words_of(text) == langid.WORD.findall(text.lower())
+    assert langid.words_of(None) == []
+    text, took = prose(rng, 50_000), []
+    for find in (langid.words_of, langid.WORD.findall):
+        began = time.perf_counter()
+        find(text)
+        took.append(time.perf_counter() - began)
+    assert took[0] < took[1] / 3
+
+
 def test_forward_backward_is_exact():
     rng = np.random.default_rng(41)
     scores, moves = rng.normal(size=(7, 2)), rng.normal(size=(2, 2))
