@@ -6,7 +6,6 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
@@ -174,18 +173,19 @@ def profiles(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> Da
 def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) of set_ids whose sets, made anew from texts (set_id, text), link."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for first in range(0, len(whole), 100):
-                pdf = whole.iloc[first : first + 100]
-                text = dict(zip(pdf.a, pdf.x, strict=True)) | dict(zip(pdf.b, pdf.y, strict=True))
+            for first in range(0, whole.num_rows, 100):  # only these texts become strings
+                part = whole.slice(first, 100)
+                a, b, x, y = (part.column(c).to_pylist() for c in ("a", "b", "x", "y"))
+                text = dict(zip(a, x, strict=True)) | dict(zip(b, y, strict=True))
                 # A set that isn't the one meant is of another text under the same id.
-                made = {k: x for k, x in zip(text, sets(pa.array(list(text.values()), pa.string()), size), strict=True) if len(x) and set_id(x) == k}
-                ok = [a in made and b in made and linked(made[a], made[b], percent) for a, b in zip(pdf.a, pdf.b, strict=True)]
-                yield pdf.loc[ok, ["a", "b"]]
+                made = {k: v for k, v in zip(text, sets(pa.array(list(text.values()), pa.string()), size), strict=True) if len(v) and set_id(v) == k}
+                ok = [i in made and j in made and linked(made[i], made[j], percent) for i, j in zip(a, b, strict=True)]
+                yield part.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     text = lambda k, t: texts.select(F.col("set_id").alias(k), F.col("text").alias(t))
-    return pairs.join(text("a", "x"), "a").join(text("b", "y"), "b").mapInPandas(run, "a bigint, b bigint")
+    return pairs.join(text("a", "x"), "a").join(text("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
 def _may_link(x: str, y: str, percent: int):
@@ -196,11 +196,11 @@ def _may_link(x: str, y: str, percent: int):
 
 
 def _nearest(sides: DataFrame, limit: int, percent: int) -> DataFrame:
-    """Pairs (a, b, more) that may link, from rows (sig, i, j, side, set_id, comp, n, sketch) sorted by (sig, i, j, side).
+    """Distinct (a, b, sig): pairs that may link, with no sig, and sigs that have more of them; from rows (sig, i, j, side, set_id, comp, n, sketch) sorted by (sig, i, j, side).
 
     In each (sig, i, j), which has two chunks of rows at most, every row of side 0 is compared with those of side 1 in
     other components by sizes and sketches, which bound the symmetric difference from below. The `limit` nearest by sketch
-    are given; more says that there are others. A task gives a pair once.
+    are given; if there are others, sig is given as well. A task gives a pair once.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,7 +222,7 @@ def _nearest(sides: DataFrame, limit: int, percent: int) -> DataFrame:
             sig, i, j, side, ids, comp, n = cols
             first = np.flatnonzero(np.r_[True, (sig[1:] != sig[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
             ends = np.r_[first[1:], len(sig)]
-            out = []
+            out, rest = [], []
             for lo, hi in zip(first if last else first[:-1], ends if last else ends[:-1], strict=True):
                 mid = lo + int(np.searchsorted(side[lo:hi], 1))
                 for x in range(lo, mid):
@@ -230,20 +230,22 @@ def _nearest(sides: DataFrame, limit: int, percent: int) -> DataFrame:
                     most = (n[mid:hi] + n[x]) * (100 - percent)
                     ok = np.flatnonzero((comp[mid:hi] != comp[x]) & (far * (100 + percent) <= most) & (np.abs(n[mid:hi] - n[x]) * (100 + percent) <= most))
                     more = len(ok) > limit
+                    if more and rest[-1:] != [sig[x]]:
+                        rest.append(sig[x])
                     for y in ok[np.argsort(far[ok], kind="stable")[:limit]] if more else ok:
-                        pair = (min(ids[x], ids[mid + y]), max(ids[x], ids[mid + y]), more)
+                        pair = (min(ids[x], ids[mid + y]), max(ids[x], ids[mid + y]), None)
                         if pair not in seen:
                             seen.add(pair)
                             out.append(pair)
             if len(seen) > 100_000:
                 seen.clear()
             held = None if last else ([c[first[-1] :].copy() for c in cols], sk[first[-1] :].copy())
+            out += [(None, None, k) for k in rest]
             for k in range(0, len(out), 50_000):
                 part = out[k : k + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part, strict=True), (pa.int64(), pa.int64(), pa.bool_()), strict=True)], ["a", "b", "more"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*part, strict=True)], ["a", "b", "sig"])
 
-    found = sides.mapInArrow(run, "a bigint, b bigint, more boolean")
-    return found.groupBy("a", "b").agg(F.max("more").alias("more"))
+    return sides.mapInArrow(run, "a bigint, b bigint, sig bigint").distinct()
 
 
 def _with_end(items):
@@ -268,8 +270,8 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
     signature are candidates. First each is verified against the least set of its signatures: this joins large groups of
     near copies in as many pairs as they have members. Then, of signatures whose members lie in several components, members
     outside the largest are compared with those in other components, in chunks, by sizes and sketches first. Each gives
-    its few nearest to be verified; as long as one has more, this is repeated over the components that are left, for more
-    of the nearest. So no link between components is lost, and pairs within one are never all made.
+    its few nearest to be verified; signatures in which one has more are looked at again over the components that are left,
+    for more of the nearest; of all others every pair has been verified. So no link between components is lost, and pairs within one are never all made.
 
     Null or wordless texts have n_shingles 0 and are their own component. A null id isn't linked with anything and has a
     null component. Rows of equal id are one document, with the least of their texts. An empty table gives no rows. Texts
@@ -288,23 +290,22 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
         star = members.where("set_id <> head").groupBy(F.col("set_id").alias("b")).agg(F.min("head").alias("a"))
         star = cut(star.join(side("a"), "a").join(side("b"), "b").where(_may_link("pa", "pb", percent)).select("a", "b"))
         links = cut(_verified(star, _texts(star, docs, classes), size, percent))
-        # A part of the signatures joins most of what is close; then all are looked at, for what is left.
-        some, limit = members.where(F.pmod(F.xxhash64("sig"), F.lit(FIRST)) == 0), 1
-        while True:
+        # A part of the signatures joins most of what is close; then all are looked at, and then those that have more.
+        some, limit, whole = members.where(F.pmod(F.xxhash64("sig"), F.lit(FIRST)) == 0), 1, False
+        while some is not None:
             with Scratch(docs.sparkSession) as round_:
                 x, y = split_keys(some.select("sig", "set_id"), "sig", "set_id", components(links, "a", "b"))
                 near = x.select("sig", "i", "j", F.lit(0).alias("side"), F.col("x").alias("set_id"), F.col("xc").alias("comp"))
                 near = near.union(y.select("sig", "i", "j", F.lit(1), "y", "yc")).join(classes.select("set_id", "n", "sketch"), "set_id")
                 near = near.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j", "side").select("sig", "i", "j", "side", "set_id", "comp", "n", "sketch")
                 cross = cut(_nearest(near, limit, percent))
-                more = not cross.where("more").isEmpty()
-                before, links = links, round_.keep(cut(links.union(_verified(cross.select("a", "b"), _texts(cross, docs, classes), size, percent))))
-            scratch.free(before)
-            if some is members:
-                if not more:
-                    break
-                limit *= 8
-            some = members
+                pairs, rest = cross.where("a IS NOT NULL").select("a", "b"), cross.where("sig IS NOT NULL").select("sig")
+                before, links = links, round_.keep(cut(links.union(_verified(pairs, _texts(pairs, docs, classes), size, percent))))
+                again = members
+                if whole:
+                    again, limit = None if rest.isEmpty() else round_.keep(cut(some.join(rest, "sig", "left_semi"))), limit * 8
+            scratch.free(before, *([some] if whole and some is not members else []))
+            some, whole = again, True
         rep = lambda k: classes.select(F.col("set_id").alias(k), F.col("rep").alias(f"r{k}"))
         comp = components(links.join(rep("a"), "a").join(rep("b"), "b"), "ra", "rb")
         ids = classes.select("set_id", "rep").join(comp, F.col("rep") == F.col("node"), "left")

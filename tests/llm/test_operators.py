@@ -15,7 +15,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from bandgraph.llm import cws, decontaminate as dec, gbt, langid, licenses, line_dedup as lines, lm, mixing, partenum, toxicity, warc
+from bandgraph.llm import common, cws, decontaminate as dec, gbt, langid, licenses, line_dedup as lines, lm, mixing, partenum, toxicity, warc
 from bandgraph.operators.graph import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -282,6 +282,26 @@ def test_hot_signatures_and_chunks(spark, monkeypatch):
     assert Counter(zip(out.doc_id, out.n_shingles, out.component_id, strict=True)) == jaccard_truth(rows, 4, 85)
 
 
+def test_only_signatures_that_have_more_are_looked_at_again(spark, monkeypatch):
+    """Texts that just miss the threshold: sixty of one base, and many of two each, all pairs of which the first rounds verify."""
+    rng, rows = random.Random(71), []
+
+    def near(k):
+        base = [rng.choice(WORDS) + str(k) + rng.choice(WORDS) for _ in range(103)]
+        for i in range(60 if k == 0 else 2):
+            w = list(base)
+            w[5 + (i * 7) % 90], w[-1] = f"mid{i}", f"end{i}"
+            rows.append((len(rows), " ".join(w), None))
+
+    for k in range(120):
+        near(k)
+    seen, nearest = [], partenum._nearest
+    monkeypatch.setattr(partenum, "_nearest", lambda sides, limit, percent: seen.append(sides.select("sig").distinct().count()) or nearest(sides, limit, percent))
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in partenum.jaccard_components(docs(spark, rows)).collect())
+    assert got == jaccard_truth(rows, partenum.SHINGLE, partenum.PERCENT)
+    assert len(seen) > 2 and seen[2] < seen[1] / 2, seen
+
+
 def test_signatures_of_linked_sets_meet():
     rng, bands = np.random.default_rng(17), partenum.Bands()
     for n in (1, 2, 6, 7, 13, 40, 160, 700, 3_000):
