@@ -492,6 +492,18 @@ def test_filter_has_no_false_negatives():
     assert (f.levels(rng.integers(0, 2**lm.KEY_BITS, 5_000, dtype=np.uint64)) > 0).mean() < 0.02
 
 
+def test_the_filter_is_asked_once_for_each_bigram_of_a_block(monkeypatch):
+    h = np.array([1, 2, 1, 2, 1, 2, 9, 1, 2, 1, 2, 9], np.uint64)
+    model, asked, levels = lm.Model(1 << 16, 12, 3, 1, 1).over(np.zeros(1 << 13, np.uint8)), [], lm.Filter.levels
+    model.filter.add(*np.unique(lm.bigram_keys(lm.previous(h, np.array([7, 5])), h), return_counts=True))
+    model.filter.add(*np.unique(lm.unigram_keys(h), return_counts=True))
+    monkeypatch.setattr(lm.Filter, "levels", lambda self, keys: asked.append(keys) or levels(self, keys))
+    _, two, _ = model.parts(h, np.array([7, 5]))
+    assert all(len(k) == len(np.unique(k)) for k in asked)
+    each = np.array([levels(model.filter, k)[0] for k in lm.bigram_keys(lm.previous(h, np.array([7, 5])), h)[:, None]])
+    assert ((two > 0) == (each > 0))[1:7].all()
+
+
 def test_language(spark):
     rng = random.Random(37)
     stems = {"aa": ["ba", "da", "ga", "la"], "bb": ["xi", "yi", "zi", "qi"]}
