@@ -60,6 +60,21 @@ def parity(x: np.ndarray) -> np.ndarray:
     return np.packbits((np.bincount(at.astype(np.int64), minlength=SKETCH) & 1).astype(np.uint8)).view(np.int64)
 
 
+def fine(x: np.ndarray) -> bytes | None:
+    """A parity sketch of twice as many bits as elements, or up to twice that; None where the SKETCH bits are as many."""
+    bits = 1 << (2 * len(x) - 1).bit_length()
+    if bits <= SKETCH:
+        return None
+    at = (x * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(24) & np.uint64(bits - 1)
+    return np.packbits((np.bincount(at.astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def apart(x: bytes, y: bytes) -> int:
+    """In how many bits two fine sketches differ, which is the symmetric difference at most; the longer is folded to the shorter's bits."""
+    x, y = sorted((np.frombuffer(v, np.uint64) for v in (x, y)), key=len)
+    return int(np.bitwise_count(x ^ np.bitwise_xor.reduce(y.reshape(-1, len(x)))).sum(dtype=np.int64))
+
+
 class Bands:
     """Bands of sizes. Family i is band i and the sizes above it that a set of band i can be similar to."""
 
@@ -138,12 +153,12 @@ def set_id(x: np.ndarray) -> int:
 
 
 def profiles(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, set_id, sketch, sigs) of docs (doc_id, text); set_id is a hash of the set, null without words.
+    """(doc_id, n_shingles, set_id, sketch, fine, sigs) of docs (doc_id, text); set_id is a hash of the set, null without words.
 
     A task gives the sigs of equal sets once, so copies are combined before anything is shuffled.
     """
-    schema = "doc_id bigint, n_shingles bigint, set_id bigint, sketch array<bigint>, sigs array<bigint>"
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+    schema = "doc_id bigint, n_shingles bigint, set_id bigint, sketch array<bigint>, fine binary, sigs array<bigint>"
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int64())]
     names = [f.split()[0] for f in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,7 +175,7 @@ def profiles(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> Da
                 fresh = own is not None and doc_id is not None and own not in done
                 if fresh:
                     done.add(own)
-                out.append((doc_id, len(x), own, parity(x) if len(x) else None, signatures(x, bands).view(np.int64) if fresh else None))
+                out.append((doc_id, len(x), own, parity(x) if len(x) else None, fine(x) if len(x) else None, signatures(x, bands).view(np.int64) if fresh else None))
                 if len(out) >= 2_000:
                     yield flush()
                     out.clear()
@@ -188,6 +203,23 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     return pairs.join(text("a", "x"), "a").join(text("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
+def _near(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of set_ids whose fine sketches allow a link, or that have none; classes is (set_id, n, fine).
+
+    The SKETCH bits of large sets are mostly noise, and texts are many times as long as a fine sketch.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            x, y, n = (part.column(c).to_pylist() for c in ("x", "y", "n"))
+            ok = [i is None or j is None or apart(i, j) * (100 + percent) <= m * (100 - percent) for i, j, m in zip(x, y, n, strict=True)]
+            yield part.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    side = lambda k, f: classes.select(F.col("set_id").alias(k), F.col("n").alias(f"n{k}"), F.col("fine").alias(f))
+    both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
+    return both.select("a", "b", "x", "y", (F.col("na") + F.col("nb")).alias("n")).mapInArrow(run, "a bigint, b bigint")
+
+
 def _may_link(x: str, y: str, percent: int):
     """Whether sizes n and sketches of two sets allow a link: both bound the symmetric difference from below."""
     far = sum((F.bit_count(F.get(f"{x}.sketch", F.lit(i)).bitwiseXOR(F.get(f"{y}.sketch", F.lit(i)))) for i in range(SKETCH // 64)), F.lit(0))
@@ -270,7 +302,7 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
     signature are candidates. First each is verified against the least set of its signatures: this joins large groups of
     near copies in as many pairs as they have members. Then, of signatures whose members lie in several components, members
     outside the largest are compared with those in other components, in chunks, by sizes and sketches first. Each gives
-    its few nearest to be verified; signatures in which one has more are looked at again over the components that are left,
+    its few nearest to be verified, those of large sets by longer sketches before any text is moved; signatures in which one has more are looked at again over the components that are left,
     for more of the nearest; of all others every pair has been verified. So no link between components is lost, and pairs within one are never all made.
 
     Null or wordless texts have n_shingles 0 and are their own component. A null id isn't linked with anything and has a
@@ -281,14 +313,15 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
     with Scratch(docs.sparkSession) as scratch:
         found = cut(profiles(docs, size, percent))
         rows = scratch.keep(cut(found.select("doc_id", "n_shingles", "set_id")))
-        one = F.min(F.struct("doc_id", F.col("n_shingles").alias("n"), "sketch")).alias("m")
+        one = F.min(F.struct("doc_id", F.col("n_shingles").alias("n"), "sketch", "fine")).alias("m")
         classes = found.where("set_id IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_id").agg(one)
-        classes = cut(classes.select("set_id", F.col("m.doc_id").alias("rep"), "m.n", "m.sketch"))
+        classes = cut(classes.select("set_id", F.col("m.doc_id").alias("rep"), "m.n", "m.sketch", "m.fine"))
         members = cut(meetings(found.select(F.explode("sigs").alias("sig"), "set_id"), "sig", "set_id").distinct())
         scratch.free(found)
         side = lambda k: classes.select(F.col("set_id").alias(k), F.struct("n", "sketch").alias(f"p{k}"))
         star = members.where("set_id <> head").groupBy(F.col("set_id").alias("b")).agg(F.min("head").alias("a"))
-        star = cut(star.join(side("a"), "a").join(side("b"), "b").where(_may_link("pa", "pb", percent)).select("a", "b"))
+        star = star.join(side("a"), "a").join(side("b"), "b").where(_may_link("pa", "pb", percent)).select("a", "b")
+        star = cut(_near(star, classes, percent))
         links = cut(_verified(star, _texts(star, docs, classes), size, percent))
         # A part of the signatures joins most of what is close; then all are looked at, and then those that have more.
         some, limit, whole = members.where(F.pmod(F.xxhash64("sig"), F.lit(FIRST)) == 0), 1, False
@@ -299,7 +332,7 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
                 near = near.union(y.select("sig", "i", "j", F.lit(1), "y", "yc")).join(classes.select("set_id", "n", "sketch"), "set_id")
                 near = near.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j", "side").select("sig", "i", "j", "side", "set_id", "comp", "n", "sketch")
                 cross = cut(_nearest(near, limit, percent))
-                pairs, rest = cross.where("a IS NOT NULL").select("a", "b"), cross.where("sig IS NOT NULL").select("sig")
+                pairs, rest = cut(_near(cross.where("a IS NOT NULL"), classes, percent)), cross.where("sig IS NOT NULL").select("sig")
                 before, links = links, round_.keep(cut(links.union(_verified(pairs, _texts(pairs, docs, classes), size, percent))))
                 again = members
                 if whole:

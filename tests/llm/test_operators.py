@@ -302,6 +302,29 @@ def test_only_signatures_that_have_more_are_looked_at_again(spark, monkeypatch):
     assert len(seen) > 2 and seen[2] < seen[1] / 2, seen
 
 
+def test_large_sets_are_told_apart_before_their_texts_are_moved(spark, monkeypatch):
+    """Long texts a little below the threshold, which 512 bits can't tell from linked ones, and some above it."""
+    rng, rows = random.Random(83), []
+    for k in range(6):
+        base = [f"{rng.choice(WORDS)}{rng.randrange(10**6)}" for _ in range(1500)]
+        for i in range(5):
+            w = list(base)
+            for p in range(i, 1500, 40 if i < 3 else 200):  # 152 of 1497 shingles, or 32, are a text's own
+                w[p] = f"own{k}x{i}x{p}"
+            rows.append((len(rows), " ".join(w), None))
+    seen, verified = [], partenum._verified
+    monkeypatch.setattr(partenum, "_verified", lambda pairs, *rest: seen.append(pairs.count()) or verified(pairs, *rest))
+    out = partenum.jaccard_components(docs(spark, rows)).collect()
+    want = jaccard_truth(rows, 4, 85)
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in out) == want and len({c for _, _, c in want}) < len(rows)
+    assert sum(seen) <= 40, seen
+    for _ in range(200):
+        x, y = (np.unique(np.array([rng.randrange(2**64) for _ in range(rng.choice((300, 1100, 2500)))], np.uint64)) for _ in "xy")
+        y = np.unique(np.r_[x[: rng.randrange(len(x))], y[: rng.randrange(300, len(y) + 1)]])
+        if partenum.fine(x) and partenum.fine(y):
+            assert partenum.apart(partenum.fine(x), partenum.fine(y)) <= len(np.setxor1d(x, y))
+
+
 def test_signatures_of_linked_sets_meet():
     rng, bands = np.random.default_rng(17), partenum.Bands()
     for n in (1, 2, 6, 7, 13, 40, 160, 700, 3_000):
