@@ -20,8 +20,8 @@ from bandgraph.functions import vectors as V
 from bandgraph.operators.ranks import quantiles
 from bandgraph.session import cut
 
-#: Most entities of a block, and most bytes; rows of a product that are made at once.
-BLOCK, BLOCK_BYTES, TILE = 2_048, 32 << 20, 256
+#: Most entities of a block, and most bytes; rows of a product that are made at once, and values that are counted at once.
+BLOCK, BLOCK_BYTES, TILE, COUNTED = 2_048, 32 << 20, 256, 1 << 16
 #: Rounded similarities are whole numbers of 10 ** -PLACES; added to OFFSET, their upper bits are the coarse bins of a histogram.
 PLACES, OFFSET, FINE_BITS = 9, 1 << 30, 16
 
@@ -35,6 +35,7 @@ class Pairs:
     def __init__(self, unit: DataFrame, block: int = BLOCK, places: int | None = None):
         self.kind, self.places = unit.schema["entity"].dataType, places
         blocks = cut(_blocks(unit, block))
+        self._cut = blocks._cut
         sizes = blocks.select("x", F.size("ids").alias("n")).collect()  # a row for each block
         found, self.entities = sorted(r.x for r in sizes), sum(r.n for r in sizes)
         self.bands = (blocks.select(F.size("sizes").alias("b")).first() or [0])[0]
@@ -49,41 +50,60 @@ class Pairs:
 
     def rows(self, over: float | None = None) -> DataFrame:
         """(i, j, s array). over: only pairs whose first band and some other are over it."""
-        kind, tiles = to_arrow_type(self.kind), _tiler(self.places)
+        make = lambda values: [pa.ListArray.from_arrays(np.arange(0, values.size + 1, len(values), dtype=np.int32), values.T.ravel())]
+        return self._made(make, "s array<double>", over)
+
+    def columns(self, make, names: list[str], over: float | None = None) -> DataFrame:
+        """(i, j, *names): columns of doubles that make gives for similarities [bands, pairs]."""
+        return self._made(lambda values: [pa.array(v) for v in make(values)], ", ".join(f"{c} double" for c in names), over)
+
+    def _made(self, make, schema: str, over: float | None) -> DataFrame:
+        kind, tiles, names = to_arrow_type(self.kind), _tiler(self.places), ["i", "j", *(c.split()[0] for c in schema.split(", "))]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for ids, y_ids, s, keep in tiles(batches):
-                if over is not None:
-                    keep = keep & (s[:, :, 0] > over) & (s[:, :, 1:] > over).any(-1)
-                a, b = np.nonzero(keep)
-                if len(a):
-                    i, j, values = ids[a], y_ids[b], s[a, b]
-                    lists = pa.ListArray.from_arrays(np.arange(0, values.size + 1, values.shape[1], dtype=np.int32), values.ravel())
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(i, j), kind), pa.array(np.maximum(i, j), kind), lists], ["i", "j", "s"])
+            for ids, y_ids, s, own in tiles(batches):
+                if over is None and not own:
+                    i, j, values = np.repeat(ids, len(y_ids)), np.tile(y_ids, len(ids)), np.stack([v.ravel() for v in s])
+                else:
+                    keep = np.ones(s[0].shape, bool) if over is None else (s[0] > over) & np.logical_or.reduce([v > over for v in s[1:]])
+                    a, b = np.nonzero(np.triu(keep, 1) if own else keep)
+                    i, j, values = ids[a], y_ids[b], np.stack([v[a, b] for v in s])
+                if len(i):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(i, j), kind), pa.array(np.maximum(i, j), kind), *make(values)], names)
 
-        return self._products(run, f"i {self.kind.simpleString()}, j {self.kind.simpleString()}, s array<double>")
+        return self._products(run, f"i {self.kind.simpleString()}, j {self.kind.simpleString()}, {schema}")
 
     def _counts(self, band: int | None, within: list[int] | None = None) -> dict[int, int]:
-        """How many similarities of a band, or of all, are in each coarse bin; or of each value in the bins `within`."""
-        tiles = _tiler(self.places)
+        """How many similarities of a band, or of all, are in each coarse bin; or of each value in the bins `within`.
+
+        A task adds up in tables of as many places as there are bins, or values in the bins `within`.
+        """
+        tiles, bins = _tiler(None), (2 * OFFSET) >> FINE_BITS
+        runs = [] if within is None else _runs(within)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            kept: dict[int, int] = {}
-            for _, _, s, keep in tiles(batches):
-                k = np.rint(s[keep][:, slice(None) if band is None else [band]] * 10.0**PLACES).astype(np.int64).ravel() + OFFSET
-                if len(k) and not 0 <= k.min() <= k.max() < 2 * OFFSET:
-                    raise ValueError("similarities must be in -1 to 1")
-                coarse = k >> FINE_BITS
-                if within is None:
-                    values, n = np.arange((2 * OFFSET) >> FINE_BITS), np.bincount(coarse, minlength=(2 * OFFSET) >> FINE_BITS)
-                else:
-                    wanted = np.zeros((2 * OFFSET) >> FINE_BITS, bool)
-                    wanted[within] = True
-                    values, n = np.unique(k[wanted[coarse]], return_counts=True)
-                for v, m in zip(values[n > 0].tolist(), n[n > 0].tolist(), strict=True):
-                    kept[v] = kept.get(v, 0) + m
-            if kept:
-                yield pa.RecordBatch.from_arrays([pa.array(list(kept), pa.int64()), pa.array(list(kept.values()), pa.int64())], ["v", "n"])
+            coarse, fine = np.zeros(bins, np.int64), [np.zeros((b - a) << FINE_BITS, np.int64) for a, b in runs]
+            for _, _, s, own in tiles(batches):
+                for v in s if band is None else [s[band]]:
+                    v = v[np.triu(np.ones(v.shape, bool), 1)] if own else v.ravel()
+                    for at in range(0, len(v), COUNTED):  # as much as the cache holds
+                        k = v[at : at + COUNTED]
+                        np.multiply(k, 10.0**PLACES, out=k)
+                        np.rint(k, out=k)
+                        np.add(k, OFFSET, out=k)
+                        if not 0 <= k.min() <= k.max() < 2 * OFFSET:
+                            raise ValueError("similarities must be in -1 to 1")
+                        k = k.astype(np.int32)
+                        if within is None:
+                            coarse += np.bincount(k >> FINE_BITS, minlength=bins)
+                        for (a, b), table in zip(runs, fine, strict=True):
+                            some = k[(k >= a << FINE_BITS) & (k <= (b << FINE_BITS) - 1)] - (a << FINE_BITS)
+                            if len(some):
+                                np.add.at(table, some, 1)
+            for first, table in [(0, coarse), *((a << FINE_BITS, t) for (a, _), t in zip(runs, fine, strict=True))]:
+                n = np.flatnonzero(table)
+                if len(n):
+                    yield pa.RecordBatch.from_arrays([pa.array(n + first), pa.array(table[n])], ["v", "n"])
 
         found = self._products(run, "v bigint, n bigint").groupBy("v").agg(F.sum("n").alias("n")).toArrow()
         return dict(zip(found.column("v").to_pylist(), found.column("n").to_pylist(), strict=True))
@@ -137,8 +157,8 @@ class Pairs:
         tiles = _tiler(self.places)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for _, _, s, keep in tiles(batches):
-                if len(x := s[:, :, band][keep]):
+            for _, _, s, own in tiles(batches):
+                if len(x := s[band][np.triu(np.ones(s[band].shape, bool), 1)] if own else s[band].ravel()):
                     mean = x.mean()
                     yield pa.RecordBatch.from_arrays([pa.array([v]) for v in (len(x), float(mean), float(((x - mean) ** 2).sum()), float(x.min()), float(x.max()))], ["n", "mean", "far", "min", "max"])
 
@@ -183,10 +203,19 @@ def _blocks(unit: DataFrame, block: int) -> DataFrame:
     return unit.select("entity", F.col("bands").cast("array<array<double>>").alias("bands")).mapInArrow(run, f"x bigint, ids array<{kind.simpleString()}>, sizes array<int>, data binary")
 
 
+def _runs(bins: list[int]) -> list[tuple[int, int]]:
+    """Ranges [a, b) of bins that follow each other."""
+    out: list[tuple[int, int]] = []
+    for b in sorted(bins):
+        out[-1:] = [(out[-1][0], b + 1)] if out and out[-1][1] == b else [*out[-1:], (b, b + 1)]
+    return out
+
+
 def _tiler(places: int | None):
-    """A function that gives (ids, ids, s [rows, columns, bands], which are pairs) for runs of rows of each product."""
+    """A function that gives (ids, ids, an array [rows, columns] for each band, whether only those over the diagonal are
+    pairs) for runs of rows of each product."""
 
-    def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray], bool]]:
         for batch in batches:
             for r in range(batch.num_rows):
                 x, y = (batch.column(k)[r].as_py() for k in (0, 1))
@@ -196,11 +225,13 @@ def _tiler(places: int | None):
                 parts = [slice(e - n, e) for e, n in zip(ends, sizes, strict=True)]
                 for at in range(0, len(ids), TILE):
                     first = at if x == y else 0  # of one block, the columns before are done
-                    s = np.stack([left[at : at + TILE, p] @ right[first:, p].T for p in parts], -1)
-                    if places is not None:
-                        s = np.rint(s * 10.0**places) / 10.0**places + 0.0
-                    keep = np.ones(s.shape[:2], bool)
-                    yield ids[at : at + TILE], y_ids[first:], s, np.triu(keep, 1) if x == y else keep
+                    s = [left[at : at + TILE, p] @ right[first:, p].T for p in parts]
+                    for v in s if places is not None else []:
+                        np.multiply(v, 10.0**places, out=v)
+                        np.rint(v, out=v)
+                        np.divide(v, 10.0**places, out=v)
+                        np.add(v, 0.0, out=v)
+                    yield ids[at : at + TILE], y_ids[first:], s, x == y
 
     return tiles
 
