@@ -112,6 +112,24 @@ def test_edges_that_are_read_once_are_not_written(spark, sf, name):
     assert not any("w" in spark.read.parquet(str(f)).columns for f in folders() - before)
 
 
+def test_columns_of_pairs_are_what_spark_makes_of_rows(spark):
+    x = np.random.default_rng(9).normal(size=(11, 3, 5))
+    x[1], x[2] = x[0], -x[0]
+    x /= np.sqrt((x**2).sum(-1, keepdims=True))
+    sim = SIM.Pairs(spark.createDataFrame([(i, b.tolist()) for i, b in enumerate(x)], "entity long, bands array<array<double>>"), 4, SIM.PLACES)
+    want = {(r.i, r.j): r.w for r in S.dense_score(sim.rows(), 1.5).withColumn("w", F.round("w", 6) + F.lit(0.0)).collect()}
+    got = sim.columns(lambda v: [S.dense_values(v, 1.5, 6)], ["w"]).collect()
+    assert len(got) == len(want) == 55 and {(r.i, r.j): r.w for r in got} == want
+
+
+def test_half_up_is_sparks_round(spark):
+    rng = np.random.default_rng(10)
+    halves = (rng.integers(-2_000_000, 2_000_000, 2_000) * 1000 + 500) / 1e9
+    v = np.concatenate([halves, np.nextafter(halves, 9), np.nextafter(halves, -9), rng.normal(size=2_000), [0.0, -0.0, -4e-7, 1.0, -1.0]])
+    got = spark.createDataFrame([(k, float(x)) for k, x in enumerate(v)], "k int, x double").select("k", (F.round("x", 6) + F.lit(0.0)).alias("x")).orderBy("k").collect()
+    assert V.half_up(v, 6).tobytes() == np.array([r.x for r in got]).tobytes()
+
+
 def test_ranked_bands_are_spearman(spark):
     df = spark.createDataFrame([(0, [[1.0, 2.0, 3.0, 4.0]]), (1, [[4.0, 3.0, 2.0, 1.0]]), (2, [[1.0, 1.0, 2.0, 2.0]])], "entity long, bands array<array<double>>")
     got = {(r.i, r.j): r.s[0] for r in SIM.all_pairs(W.ranked_bands(df)).collect()}
